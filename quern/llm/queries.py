@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import spm_bpe
+from quern.llm import adaptive_rules, ftrl_quality, kn_toxicity, spm_bpe
 from quern.llm.common import table
 
 
@@ -16,8 +16,26 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's quality by a classifier that is trained on the labels of the other folds."""
+    return ftrl_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every document by the base rules and by its language's and source's own thresholds."""
+    return adaptive_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's toxicity by two class-conditional language models."""
+    return kn_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ftrl_quality": op6_ftrl_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
