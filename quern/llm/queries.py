@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import adaptive_rules, ftrl_quality, kn_toxicity, spm_bpe
+from quern.llm import adaptive_rules, dart_minhash, ftrl_quality, kn_toxicity, spm_bpe
 from quern.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document's quality by a classifier that is trained on the labels of the other folds."""
     return ftrl_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,6 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_dart_minhash": op5_dart_minhash,
     "op6_ftrl_quality": op6_ftrl_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
