@@ -1,12 +1,64 @@
-"""The document pipeline: quality rules, toxicity, near-duplicates, source mixing, encoding."""
+"""The document pipeline: quality rules, toxicity, near-duplicates, source mixing, encoding.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the rows that it keeps, with the columns
+of documents, and the last one the encoded documents. run() writes each stage as Parquet in the shared folder of
+spark.checkpoint.dir and reads it again as the next one's input, so a lost executor costs part of a stage at most.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import adaptive_rules, cube_mixing, dart_minhash, kn_toxicity, spm_bpe
+from quern.llm.common import shared_dir, table
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return adaptive_rules.keep_good(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kn_toxicity.keep_ordinary(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dart_minhash.keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return cube_mixing.take(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    coded = spm_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    back = spm_bpe.decode(coded.withColumn("n_bytes", F.octet_length("text").cast("long")).drop("text"), path)
+    return back.select("doc_id", "lang", "source", "n_bytes", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity),
+    ("near-duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
-STAGES = []
+#: The thresholds' sketches, the language models and the sampling are no SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over all documents."""
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
