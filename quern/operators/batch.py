@@ -93,7 +93,7 @@ def unfold_chunks(df: DataFrame, n: int, arrays: list[str], pos: str = POS) -> D
 def fold(df: DataFrame, k: int, columns: list[str], pos: str = POS) -> DataFrame:
     """k rows in a row become one with arrays of the columns."""
     rows = df.groupBy(F.floor(F.col(pos) / k).alias(pos)).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("__p"), *columns))).alias("__a"))
-    return rows.select(pos, *(F.transform("__a", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return rows.select(pos, *(F.col(f"__a.{c}").alias(c) for c in columns))
 
 
 def unfold(df: DataFrame, columns: list[str], pos: str = POS) -> DataFrame:
