@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import ASCII_SPACE, cut, without
+from quern.llm.common import ASCII_SPACE, cut, parts, without
 
 #: Relative error of a sketch's quantiles.
 ALPHA = 0.01
@@ -83,7 +83,7 @@ def document_stats(df: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [measure(x or "") for x in batch.column(text).to_pylist()]
             columns = zip(*found, strict=True) if found else [[] for _ in COUNTS]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *COUNTS])
@@ -166,5 +166,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the columns of docs. Counts are made again rather than carried with the texts."""
     fences = cut(thresholds(sketches(document_stats(docs.select("lang", "source", "text")).drop("text"))))
-    inner = document_stats(docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")).drop("text")
-    return judge(inner, fences).filter("kept").select("row.*")
+    plain = [f"__{i}" for i in range(len(docs.columns))]  # names that nothing here uses
+    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, plain, strict=True)), "lang", "source")
+    kept = judge(document_stats(rows, plain[docs.columns.index("text")]), fences).filter("kept")
+    return kept.select(*(F.col(x).alias(c) for c, x in zip(docs.columns, plain, strict=True)))

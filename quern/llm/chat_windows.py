@@ -30,6 +30,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import parts
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Tokens of a window, of repeated history in it, and of a turn's marks.
 BUDGET, HISTORY, MARKS = 2048, 256, 4
@@ -70,14 +72,14 @@ def cut_windows(tokens: list[int], prior: int, system: int, budget: int, history
 
 def write(turns: list[tuple[str, str, bool]]) -> tuple[str, list[dict]]:
     """The formatted text of turns (role, text, repeated) and the spans of characters under the loss."""
-    parts, spans, at = [], [], 0
+    written, spans, at = [], [], 0
     for role, text, repeated in turns:
         head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
         if role == "assistant" and not repeated:
             spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
-        parts += [head, body, CLOSE]
+        written += [head, body, CLOSE]
         at += len(head) + len(body) + len(CLOSE)
-    return "".join(parts), spans
+    return "".join(written), spans
 
 
 def read(formatted: str) -> list[tuple[str, str]]:
@@ -118,7 +120,7 @@ def windows(conversations: DataFrame, vocabulary: str, pattern: str, budget: int
         pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, ranks.value.splitlines()))}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=pieces, special_tokens={})
         count = lambda role, text: len(encoding.encode_ordinary(role)) + len(encoding.encode_ordinary(text)) + MARKS
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for row in batch.to_pylist():
                 turns = sorted((t["turn"], t["role"], t["text"], t["new"]) for t in row["turns"])
@@ -163,7 +165,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             return key, n, turns.hexdigest(), chars, loss.hexdigest(), total, count
 
         kind_of = None
-        for batch in batches:
+        for batch in parts(batches):
             kind_of, out = batch.schema.field("conv_id").type, []
             for row in batch.to_pylist():
                 if not state or state[0] != row["conv_id"]:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_OWNED: list = [None, None]
+
+
+def owned(name: str, make: Callable):
+    """A worker's table of known words or the like. A worker keeps one at a time, so that those of earlier steps go."""
+    if _OWNED[0] != name:
+        _OWNED[:] = [name, make()]
+    return _OWNED[1]
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def fold(doc_id: str, parts: int):
     """crc32 of the id as text, modulo parts: the fold that labels are split by. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % F.lit(parts), F.lit(0)).cast("int")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, parts
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -43,7 +43,7 @@ def sized(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sizes = [len((x or "").encode("utf-8", "surrogatepass").split()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "h")), pa.array(sizes, pa.int64())], names=["doc_id", "source", "h", "size"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import cut
+from quern.llm.common import cut, owned, parts
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -153,19 +153,16 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray | None]], k: int = K) ->
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
-_HASHES = _Hashes()
-
-
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
     """The hashes of a text's shingles in order, with repetitions."""
     words = text.encode("utf-8", "surrogatepass").split()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(owned("shingles", _Hashes).__getitem__, words), np.uint64, len(words))
     width = min(width, len(h))
     if not width:
         return h
@@ -210,11 +207,9 @@ def _vertices(docs: DataFrame, width: int, weighted: bool) -> DataFrame:
     schema = T.StructType([*rows.drop("text").schema.fields, T.StructField("bands", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                bands, sig = zip(*_sign(part.column("text").to_pylist(), width, weighted), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc_id"), pa.array(bands, pa.binary()), pa.array(sig, pa.binary())], names=schema.names)
+        for part in parts(batches):
+            bands, sig = zip(*_sign(part.column("text").to_pylist(), width, weighted), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc_id"), pa.array(bands, pa.binary()), pa.array(sig, pa.binary())], names=schema.names)
 
     signed = rows.mapInArrow(run, schema)
     return signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -224,7 +219,7 @@ def _buckets(vertices: DataFrame) -> DataFrame:
     """(h, key): the buckets of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 4096):
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("h").take(np.repeat(np.arange(batch.num_rows), BANDS)), pa.array(keys)], names=["h", "key"])
 
@@ -251,7 +246,7 @@ def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     rows = pairs.join(sig.select(F.col("h").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("h").alias("b"), F.col("sig").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 4096):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sa", "sb"))
             near = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"])
@@ -265,7 +260,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, width: int, weighted: bool, thresh
     texts = docs.filter(F.col("text").rlike(_HAS_WORD)).select(_key("text").alias("h"), "text").join(wanted, "h", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [np.unique(shingle_hashes(x, width), return_counts=True) for x in batch.column("text").to_pylist()]
             packed = [(keys.tobytes(), n.astype("<i4").tobytes()) for keys, n in found]
             keys, n = zip(*packed, strict=True) if packed else ((), ())
@@ -275,7 +270,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, width: int, weighted: bool, thresh
     side = lambda c: own.select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keep = []
             for sa, na, sb, nb in zip(*(batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import fold, without
+from quern.llm.common import fold, owned, parts, without
 
 BUCKETS = 1 << 18
 #: Labelled rows that train at most; a hash of the id picks them.
@@ -38,19 +38,16 @@ _MASK = np.uint64(BUCKETS - 1)
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
 
 
-_HASHES = _Hashes()
-
-
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Ascending features of a text and their values."""
     words = _FIND(text)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(owned("ngrams", _Hashes).__getitem__, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     grams, n = np.unique(np.concatenate([h >> np.uint64(40) & _MASK, pairs >> np.uint64(40) & _MASK]).astype(np.int64), return_counts=True)
     again = grams[n > 1]
@@ -111,7 +108,7 @@ def score(df: DataFrame, fitted: tuple[np.ndarray, float], name: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             found = [features(x or "") for x in batch.column("text").to_pylist()]
             raw = np.clip([float(w[at] @ values) + b for at, values in found], -40, 40)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-raw)), pa.float64())], names=[*batch.schema.names, name])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import fold, without
+from quern.llm.common import fold, owned, parts, without
 
 #: Characters of a stem.
 STEM = 6
@@ -58,18 +58,15 @@ _FIND = re.compile(r"\w+").findall
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & (WORDS - 1)
         return found
 
 
-_BUCKETS = _Buckets()
-
-
 def word_ids(text: str) -> np.ndarray:
     words = [w[:STEM] for w in _FIND(text.lower())]
-    return np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(owned("stems", _Buckets).__getitem__, words), np.int64, len(words))
 
 
 def pair_keys(ids: np.ndarray) -> np.ndarray:
@@ -88,14 +85,14 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
     """Per partition: the bigram types of either class and how often each came, by chunk of slots."""
     held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    for batch in batches:
+    for batch in parts(batches, 1024):
         fresh: list[list[np.ndarray]] = [[], []]
         for text, cls in zip(batch.column("text").to_pylist(), batch.column("cls").to_pylist(), strict=True):
             fresh[cls].append(pair_keys(word_ids(text or "")))
         for cls in (0, 1):
             if fresh[cls]:
                 held[cls].append(np.unique(np.concatenate(fresh[cls]), return_counts=True))
-                if len(held[cls]) > 4:
+                if len(held[cls]) > 8:
                     held[cls] = [_add(held[cls])]
     rows = []
     for cls in (0, 1):
@@ -109,11 +106,11 @@ def _count(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.Record
         yield _blobs(rows)
 
 
-def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+def _add(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(counts) == 1:
+        return counts[0]
+    keys, inverse = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in counts]), len(keys)).astype(np.int64)
 
 
 _BLOBS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
@@ -137,11 +134,11 @@ def _added(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """The sums of the rows of each kind."""
     held: dict[str, list] = {}
     for kind, keys, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "counts")), strict=True):
-        parts = held.setdefault(kind, [])
-        parts.append(_read(keys, counts))
-        if len(parts) > 16:
-            held[kind] = [_add(parts)]
-    return {kind: _add(parts) for kind, parts in held.items()}
+        own = held.setdefault(kind, [])
+        own.append(_read(keys, counts))
+        if len(own) > 16:
+            held[kind] = [_add(own)]
+    return {kind: _add(own) for kind, own in held.items()}
 
 
 def _surprise(both: np.ndarray, part: float) -> np.ndarray:
@@ -186,9 +183,9 @@ def _sum(table: pa.Table) -> pa.Table:
 class Model:
     """The arrays that scoring needs. kept: bigram of each slot (-1: none), and its discounted share in either class."""
 
-    def __init__(self, parts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
-        dense = lambda name, n: np.bincount(parts.get(name, none)[0], parts.get(name, none)[1], n)[:n]
+        dense = lambda name, n: np.bincount(counts.get(name, none)[0], counts.get(name, none)[1], n)[:n]
         single = np.stack([dense(f"single{c}", WORDS) for c in (0, 1)])
         follows = dense("follows", WORDS) + 1
         total = single.sum(axis=0)
@@ -200,15 +197,15 @@ class Model:
             seen = np.where(own, np.maximum(single[c] - 0.75, 0), 0) / max(1, single[c][own].sum())
             self.word[c] = np.where(own, (1 - pruned) * (seen + (1 - seen.sum()) * shared), max(pruned, 1e-9) * shared)
         self.rest = np.ones((2, WORDS + 1))
-        keys = parts.get("kept0", none)[0]
+        keys = counts.get("kept0", none)[0]
         self.kept = np.full(PAIRS, -1, np.int64)
         self.kept[_slots(keys)] = keys
         self.share = np.zeros((2, PAIRS))
         for c in (0, 1):
-            once, twice = parts[f"types{c}"][1].tolist() if f"types{c}" in parts else (0, 0)
+            once, twice = counts[f"types{c}"][1].tolist() if f"types{c}" in counts else (0, 0)
             discount = once / (once + 2 * twice) if once else 0.5
             context = dense(f"context{c}", WORDS + 1)
-            over = np.maximum(parts.get(f"kept{c}", none)[1] - discount, 0)
+            over = np.maximum(counts.get(f"kept{c}", none)[1] - discount, 0)
             mass = np.bincount(keys >> 20, over, WORDS + 1)
             self.rest[c] = 1 - mass / np.maximum(context, 1)
             self.share[c, _slots(keys)] = over / np.maximum(context[keys >> 20], 1)
@@ -238,23 +235,23 @@ def count_model(labelled: DataFrame, part: float) -> Model:
     """The model of all rows (text, cls) of labelled, of which about this part is of class 1."""
     spark = labelled.sparkSession
     chunks = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = labelled.select("text", "cls").mapInArrow(lambda batches: _count(batches, chunks), _BLOBS)
-    parts = parts.groupBy("chunk").applyInArrow(lambda table: _merge(table, part), _BLOBS)
+    found = labelled.select("text", "cls").mapInArrow(lambda batches: _count(batches, chunks), _BLOBS)
+    found = found.groupBy("chunk").applyInArrow(lambda table: _merge(table, part), _BLOBS)
     # arrays over all words add up in two steps, so that no task reads those of every chunk
-    parts = parts.groupBy("kind", (F.col("chunk") % 32).alias("some")).applyInArrow(_sum, _BLOBS)
-    total = parts.groupBy("kind").applyInArrow(_sum, _BLOBS)
+    found = found.groupBy("kind", (F.col("chunk") % 32).alias("some")).applyInArrow(_sum, _BLOBS)
+    total = found.groupBy("kind").applyInArrow(_sum, _BLOBS)
     return Model({r["kind"]: _read(bytes(r["keys"]), bytes(r["counts"])) for r in total.collect()})  # of a fixed size
 
 
-def _values(df: DataFrame, model: Model, name: str) -> DataFrame:
+def _values(df: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """df with the raw value (double, null without words) of each text."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: WORDS and PAIRS
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            found = [own.value(x or "") for x in batch.column("text").to_pylist()]
+        for batch in parts(batches):
+            found = [own.value(x or "") for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
@@ -289,10 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Model
     return model, *fit_curve(x, bins["cls"].to_numpy(float), bins["n"].to_numpy(float))
 
 
-def score(df: DataFrame, fitted: tuple[Model, float, float], name: str = "score") -> DataFrame:
+def score(df: DataFrame, fitted: tuple[Model, float, float], name: str = "score", text: str = "text") -> DataFrame:
     """df with each text's score (double)."""
     model, slope, intercept = fitted
-    out = _values(without(df, name, "__value"), model, "__value")
+    out = _values(without(df, name, "__value"), model, "__value", text)
     curve = 1 / (1 + F.exp(-F.greatest(F.least(slope * F.coalesce(F.col("__value"), F.lit(-10.0)) + intercept, F.lit(40.0)), F.lit(-40.0))))
     return out.withColumn(name, curve).drop("__value")
 
@@ -305,5 +302,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with the columns of docs."""
-    inner = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(inner, fit(docs, labels)).filter("score < 0.5").select("row.*")
+    plain = [f"__{i}" for i in range(len(docs.columns))]  # names that nothing here uses
+    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, plain, strict=True)))
+    kept = score(rows, fit(docs, labels), text=plain[docs.columns.index("text")]).filter("score < 0.5")
+    return kept.select(*(F.col(x).alias(c) for c, x in zip(docs.columns, plain, strict=True)))

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import without
+from quern.llm.common import owned, parts, without
 
 #: Chunks and pre-tokens that a worker remembers before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 _NORMAL, _UNKNOWN = 1, 2
 _BPE = 2
@@ -132,16 +132,9 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_CODECS: dict[tuple[bytes, str], Codec] = {}
-
-
 def codec(vocabulary: bytes, pattern: str) -> Codec:
     """The codec of a rank file's content; each worker builds it once."""
-    key = (hashlib.sha256(vocabulary).digest(), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(read_ranks(vocabulary), pattern)
-    return _CODECS[key]
+    return owned(f"codec {hashlib.sha256(vocabulary).hexdigest()} {pattern}", lambda: Codec(read_ranks(vocabulary), pattern))
 
 
 def _groups(values: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -169,7 +162,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             for a, b in _groups(texts):
                 packed = own.encode(texts[a:b])
@@ -187,7 +180,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: piece for piece, rank in read_ranks(content.value).items()}
-        for batch in batches:
+        for batch in parts(batches):
             packed = [x or b"" for x in batch.column(ids).to_pylist()]
             for a, b in _groups(packed, 4 << 20):
                 out = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in packed[a:b]]

@@ -27,6 +27,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from quern.llm.common import owned, parts
+
 RULES = ("start", "end", "most")
 
 
@@ -51,15 +53,8 @@ class Encoder:
         return ids, starts, ends
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
-
-
 def encoder(ranks: bytes, pattern: str) -> Encoder:
-    key = (hash(ranks), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
+    return owned(f"encoder {hash(ranks)} {pattern}", lambda: Encoder(ranks, pattern))
 
 
 def line_starts(text: str) -> np.ndarray:
@@ -102,7 +97,7 @@ def attribute(df: DataFrame, vocabulary: str, pattern: str, rule: str = "start",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks.value, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(text).to_pylist()
             cuts = batch.column(starts).to_pylist() if starts else [None] * len(texts)
             rows, columns = [], [[] for _ in names[1:]]
