@@ -153,12 +153,15 @@ def _with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Rec
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
-    """df with the packed ids (binary) and their number (long) of each whole text. vocabulary: the path of a rank file."""
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str | None = None) -> DataFrame:
+    """df with the packed ids (binary) and their number (long) of each whole text. vocabulary: the path of a rank file. decoded: a
+    column for the bytes that the packed ids decode to again, made in the same pass."""
     with open(vocabulary, "rb") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())  # bounded by the vocabulary file
-    df = without(df, ids, count)
+    df = without(df, ids, count, *([decoded] if decoded else []))
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())])
+    if decoded:
+        schema = schema.add(decoded, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value, pattern)
@@ -166,7 +169,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
             texts = [x or "" for x in batch.column(text).to_pylist()]
             for a, b in _groups(texts):
                 packed = own.encode(texts[a:b])
-                yield _with_columns(batch.slice(a, b - a), {ids: pa.array(packed, pa.binary()), count: pa.array([len(x) // 4 for x in packed], pa.int64())})
+                found = {ids: pa.array(packed, pa.binary()), count: pa.array([len(x) // 4 for x in packed], pa.int64())}
+                if decoded:
+                    found[decoded] = pa.array([own.decode(x) for x in packed], pa.binary())
+                yield _with_columns(batch.slice(a, b - a), found)
 
     return df.mapInArrow(run, schema)
 
@@ -191,5 +197,5 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
 
 def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """One row per document: number of ids, and the digests of the packed ids and of what they decode to."""
-    there = decode(encode(df.select("doc_id", "text"), vocabulary, pattern).drop("text"), vocabulary)
+    there = encode(df.select("doc_id", "text"), vocabulary, pattern, decoded="decoded")
     return there.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
