@@ -96,10 +96,10 @@ def fold(df: DataFrame, k: int, columns: list[str], pos: str = POS) -> DataFrame
     return rows.select(pos, *(F.col(f"__a.{c}").alias(c) for c in columns))
 
 
-def unfold(df: DataFrame, columns: list[str], pos: str = POS) -> DataFrame:
-    """Undo fold."""
-    rows = df.select(pos, F.posexplode(F.arrays_zip(*columns)).alias("__i", "__z"), F.size(columns[0]).alias("__k"))
-    return rows.select((F.col(pos) * F.col("__k") + F.col("__i")).alias(pos), "__z.*")
+def unfold(df: DataFrame, k: int, columns: list[str], pos: str = POS) -> DataFrame:
+    """Undo fold; the last row may be short."""
+    rows = df.select(pos, F.posexplode(F.arrays_zip(*columns)).alias("__i", "__z"))
+    return rows.select((F.col(pos) * k + F.col("__i")).alias(pos), "__z.*")
 
 
 def chunk(df: DataFrame, k: int, pos: str = POS) -> DataFrame:

@@ -16,6 +16,8 @@ def proposal_ok() -> Column:
 
 def split_proposals(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid); records without a type are in neither."""
+    if "problem" not in df.columns:
+        df = df.withColumn("problem", F.lit(None).cast("string"))
     return df.filter(proposal_ok()), df.filter(~proposal_ok())
 
 
@@ -41,6 +43,8 @@ def complete() -> Column:
 
 def clean(df: DataFrame) -> DataFrame:
     """Only complete records. (Removing from a list while walking it would skip neighbours; this filter doesn't.)"""
+    for c in sorted({c for needs in NEEDS.values() for c in needs} - set(df.columns)):
+        df = df.withColumn(c, F.lit(None).cast("string"))
     return df.filter(complete())
 
 

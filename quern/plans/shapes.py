@@ -68,7 +68,7 @@ def fold(spark, d):
 
 @query("SELECT pos, vec_id FROM {a}", longs="pos", **A)
 def unfold(spark, d):
-    return batch.unfold(batch.fold(arrays(spark, d), 5, ["vec_id"]), ["vec_id"])
+    return batch.unfold(batch.fold(arrays(spark, d), 5, ["vec_id"]), 5, ["vec_id"])
 
 
 @query("SELECT vec_id, pos // ((SELECT count(*) FROM embeddings) // 4) AS chunk FROM {a}", longs="chunk", **A)
