@@ -43,8 +43,8 @@ K = BANDS * ROWS
 SMALL_BUCKET = 5
 #: Distances from the threshold, in standard deviations of the estimate, beyond which the estimate decides.
 SURE = 4.0
-#: Kept rows that may be broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: Rows of a side that may be broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Rank cells: [0, 2^-12), then doubling ones up to 1, then unit ones. Ranks are numbers of 2^-28.
@@ -254,10 +254,13 @@ def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, near double")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, width: int, weighted: bool, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets have the threshold's similarity."""
+def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, weighted: bool, threshold: float) -> DataFrame:
+    """The pairs whose shingle sets have the threshold's similarity. Of equal texts only the one with the smallest id is read."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = docs.filter(F.col("text").rlike(_HAS_WORD)).select(_key("text").alias("h"), "text").join(wanted, "h", "left_semi")
+    wanted = cut(wanted.join(vertices, "h").select(F.col("h").alias("k"), F.col("doc_id").alias("id")))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    own = docs.filter(F.col("text").rlike(_HAS_WORD)).select(_key("text").alias("h"), "doc_id", "text")
+    texts = own.join(side, (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -266,7 +269,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, width: int, weighted: bool, thresh
             keys, n = zip(*packed, strict=True) if packed else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["h", "s", "n"])
 
-    own = cut(texts.mapInArrow(sets, "h binary, s binary, n binary").groupBy("h").agg(F.first("s").alias("s"), F.first("n").alias("n")))
+    own = cut(texts.select("h", "text").mapInArrow(sets, "h binary, s binary, n binary").groupBy("h").agg(F.first("s").alias("s"), F.first("n").alias("n")))
     side = lambda c: own.select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +312,7 @@ def _classes(docs: DataFrame, threshold: float, width: int, weighted: bool) -> D
     vertices = cut(_vertices(docs, width, weighted))
     near = cut(_estimate(_candidates(vertices), vertices).filter(F.col("near") >= threshold - SURE * math.sqrt(threshold * (1 - threshold) / K)))
     sure = F.col("near") - SURE * F.sqrt(F.greatest(F.col("near") * (1 - F.col("near")), F.lit(1.0 / K)) / K) >= threshold
-    links = near.filter(sure).select("a", "b").unionByName(_exact(near.filter(~sure), docs, width, weighted, threshold))
+    links = near.filter(sure).select("a", "b").unionByName(_exact(near.filter(~sure), vertices, docs, width, weighted, threshold))
     roots = components(links)
     return cut(vertices.select("h", "doc_id").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")))
 
