@@ -11,8 +11,10 @@ most surprising. So the model that scorers receive has a fixed size, while what
 corpus. The probability of a stem w of a text after v in class c is
 
     p(w | v, c) = max(n_c(v, w) - D_c, 0) / n_c(v) + (rest of the mass of v in c) * p(w | c)
-    p(w | c)    = (1 - R) * (max(n_c(w) - D_1, 0) / N_c + (rest) * share of w in the continuation counts), w not pruned
-                = R * share of w in the continuation counts, w pruned; R is the share of all pruned stems in both classes
+    p(w | c)    = max(n_c(w) - D_1, 0) / N_c + (mass of the discounts) * share of w in the continuation counts, w not pruned
+                = (rest of the mass of c) * share of w in the continuation counts, w pruned
+
+where shares are among the stems that aren't pruned, and among those that are.
 
 A text's raw value is the difference of both log-likelihoods over its number of words. A logistic curve that is fitted to
 the values of a further fold of labelled documents (as a histogram, so of fixed size) turns it into a score from 0 to 1.
@@ -190,12 +192,15 @@ class Model:
         follows = dense("follows", WORDS) + 1
         total = single.sum(axis=0)
         own = _surprise(single, single[1].sum() / max(1, total.sum())) > EVIDENCE
-        pruned = total[~own].sum() / max(1, total.sum())
-        shared = np.where(own, follows / max(1, follows[own].sum()), follows / follows[~own].sum())
+        shared = np.where(own, follows / max(1, follows[own].sum()), follows / max(1, follows[~own].sum()))
         self.word = np.empty((2, WORDS))
         for c in (0, 1):
-            seen = np.where(own, np.maximum(single[c] - 0.75, 0), 0) / max(1, single[c][own].sum())
-            self.word[c] = np.where(own, (1 - pruned) * (seen + (1 - seen.sum()) * shared), max(pruned, 1e-9) * shared)
+            n = max(1, single[c].sum())
+            seen = np.where(own, np.maximum(single[c] - 0.75, 0), 0) / n
+            # the discounts' mass, of one stem at least, so that no stem is impossible
+            spread = 0.75 * max(1, np.count_nonzero(single[c][own])) / n if own.any() else 0.0
+            rest = max(1 - seen.sum() - spread, 1e-9)
+            self.word[c] = np.where(own, seen + spread * shared, rest * shared)
         self.rest = np.ones((2, WORDS + 1))
         keys = counts.get("kept0", none)[0]
         self.kept = np.full(PAIRS, -1, np.int64)
