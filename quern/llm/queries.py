@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import adaptive_rules, chat_windows, cube_mixing, dart_minhash, ftrl_quality, kn_toxicity, spm_bpe, token_spans, topk_search, url_rules
+from quern.llm import adaptive_rules, chat_windows, cube_mixing, dart_minhash, ftrl_quality, kn_toxicity, oracle, spm_bpe, token_spans, topk_search, url_rules
 from quern.llm.common import table
 
 
@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries need a tokenizer, a trained model or random sampling; they are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": oracle.TOP_K,
+    "op5_dart_minhash": oracle.NEAR_DUPLICATES,
+    "op8_quality_rules": oracle.quality_rules(),
+}
