@@ -129,3 +129,24 @@ def role_order_ok(df: DataFrame, conversation: str = "conv_id", turn: str = "tur
 def place_reward(df: DataFrame, reward: str, length: str, pos: str = "pos") -> DataFrame:
     """Token rewards: the response's reward at its last valid token, else 0."""
     return df.withColumn("token_reward", F.when(F.col(pos) == F.col(length) - 1, F.col(reward)).otherwise(0.0))
+
+
+def same_tokens(whole: Column | str, pieces: Column | str) -> Column:
+    """Whether one encoding of the whole is that of its pieces joined (array<array>)."""
+    return _arr(whole).eqNullSafe(F.flatten(_arr(pieces)))
+
+
+def response_mask(attention: Column | str, response_length: Column | str) -> Column:
+    """The mask's last places."""
+    a, n = _arr(attention), _arr(response_length)
+    return F.slice(a, F.size(a) - n + 1, n)
+
+
+def total(mask: Column | str) -> Column:
+    return F.aggregate(_arr(mask), F.lit(0), lambda a, x: a + x)
+
+
+def near_whole(c: Column | str, tolerance: float = 1e-6) -> Column:
+    """The whole number that a value nearly is; others raise."""
+    c = _arr(c)
+    return F.when(F.abs(c - F.round(c)) <= tolerance, F.round(c).cast("long")).otherwise(F.raise_error(F.lit("no whole number")).cast("long"))

@@ -200,9 +200,63 @@ def tail_ratio(df: DataFrame, value: str, part: float = 0.9) -> DataFrame:
     return df.join(at).agg(F.max("p").alias("quantile"), F.avg((F.col(value) > F.col("p")).cast("double")).alias("above"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-def dense_flops(df: DataFrame, layers: int, hidden: int, heads: int, kv_heads: int, head_dim: int, inter: int, vocab: int, length: str = "response_length") -> DataFrame:
-    """(tokens, flops): of a dense decoder's forward and backward passes: six per weight and token, and twelve per layer, head and
-    dimension for each pair of places."""
-    weights = layers * (3 * hidden * inter + hidden * head_dim * (2 * heads + 2 * kv_heads)) + 2 * vocab * hidden
+def model_weights(layers: int, hidden: int, vocab: int, heads: int, kv_heads: int, head_dim: int, inter: int, experts: int = 0, active: int = 0, shared: int = 0, gated: bool = True, norms: int = 0) -> int:
+    """Weights that a token meets in a decoder: attention, the feed-forward layer (of three matrices if gated, else two; of the active
+    and shared experts and their gate if there are experts), further ``norms`` a layer, and both embeddings."""
+    forward = hidden * inter * (3 if gated else 2) * (active + shared if experts else 1) + hidden * experts
+    attention = hidden * head_dim * (2 * heads + 2 * kv_heads)
+    return layers * (forward + attention + norms) + 2 * vocab * hidden
+
+
+def latent_weights(layers: int, hidden: int, vocab: int, heads: int, nope: int, rope: int, value: int, kv_rank: int, q_rank: int | None, inter: int, moe_inter: int, experts: int, active: int, shared: int, dense_layers: int) -> int:
+    """The same for a decoder with latent attention and experts behind its first dense layers."""
+    q = nope + rope
+    queries = hidden * heads * q if q_rank is None else hidden * q_rank + heads * q * q_rank
+    attention = queries + hidden * (kv_rank + rope) + heads * (nope + value) * kv_rank + heads * value * hidden
+    sparse = hidden * experts + hidden * moe_inter * (active + shared) * 3 + attention
+    return sparse * (layers - dense_layers) + (hidden * inter * 3 + attention) * dense_layers + 2 * vocab * hidden
+
+
+def flops(df: DataFrame, weights: int, pairs: float, length: str = "response_length", window: int | None = None, window_pairs: float = 0.0) -> DataFrame:
+    """(tokens, flops) of forward and backward passes: six per weight and token, and ``pairs`` for each pair of places; layers with a
+    sliding window count ``window_pairs`` for pairs no further apart."""
     n = F.col(length).cast("double")
-    return df.agg(F.sum(n).alias("tokens"), (F.sum(n) * (6.0 * weights) + F.sum(n * n) * (12.0 * head_dim * heads * layers)).alias("flops"))
+    near = F.sum(n * F.least(n, F.lit(float(window)))) * window_pairs if window else F.lit(0.0)
+    return df.agg(F.sum(n).alias("tokens"), (F.sum(n) * (6.0 * weights) + F.sum(n * n) * pairs + near).alias("flops"))
+
+
+def dense_flops(df: DataFrame, layers: int, hidden: int, heads: int, kv_heads: int, head_dim: int, inter: int, vocab: int, length: str = "response_length") -> DataFrame:
+    """flops of a dense decoder with full attention: twelve per layer, head and dimension for each pair of places."""
+    return flops(df, model_weights(layers, hidden, vocab, heads, kv_heads, head_dim, inter), 12.0 * head_dim * heads * layers, length)
+
+
+def utilisation(flops: Column, seconds: Column, peak: float, devices: int) -> Column:
+    """The part of the devices' peak that was used."""
+    return F.try_divide(flops, seconds * (peak * devices))
+
+
+def fixed_coefficient(steps: DataFrame, value: float) -> DataFrame:
+    """(step, coefficient): the same after every step."""
+    return steps.select("step", F.lit(value).alias("coefficient"))
+
+
+def controller(kind: str, **options):
+    """The coefficient controller of a kind: fixed or adaptive."""
+    if kind == "fixed":
+        return lambda steps: fixed_coefficient(steps, options["value"])
+    if kind == "adaptive":
+        if options["horizon"] <= 0:
+            raise ValueError("the horizon is above 0")
+        return lambda steps: adaptive_coefficient(steps, options["start"], options["target"], options["horizon"])
+    raise ValueError(f"no controller has the name {kind}")
+
+
+def spread(df: DataFrame, value: str, mask: str | None = None) -> DataFrame:
+    """One row: mean, maximum, minimum and population deviation of the valid values over all partitions."""
+    c = F.when(F.col(mask) == 1, F.col(value)) if mask else F.col(value)
+    return df.agg(F.avg(c).alias("mean"), F.max(c).alias("max"), F.min(c).alias("min"), F.stddev_pop(c).alias("std"))
+
+
+def newest(df: DataFrame, step: str, value: str) -> DataFrame:
+    """One row: the value of the largest step."""
+    return df.agg(F.max(step).alias(step), F.max_by(value, step).alias(value))

@@ -67,3 +67,21 @@ def sample_by_level(df: DataFrame, difficulty: str, key: str, n: int = 10, seed:
     """Up to n rows of each level, in a seeded order."""
     rows = df.withColumn("level", level(difficulty)).filter("level is not null")
     return rows.withColumn("__rank", F.row_number().over(W.partitionBy("level").orderBy(seeded(key, seed), key))).filter(F.col("__rank") <= n).drop("__rank")
+
+
+def ordered(df: DataFrame, how: str, key: str, seed: int = 0, custom: Column | None = None) -> DataFrame:
+    """df in the order of a sampler: sequential by key, random by seed, or custom by a column."""
+    if how == "sequential":
+        return df.orderBy(key)
+    if how == "random":
+        return df.orderBy(seeded(key, seed), key)
+    if how == "custom" and custom is not None:
+        return df.orderBy(custom, key)
+    raise ValueError(f"no sampler has the name {how}")
+
+
+def fan_out(df: DataFrame, n: int, temperature: float = 1.0) -> DataFrame:
+    """Each row n times, numbered by ``sample_idx``; without temperature one sample is all there is."""
+    if temperature == 0 and n != 1:
+        raise ValueError("without temperature n is 1")
+    return df.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -132,3 +132,12 @@ def skill_lines(df: DataFrame, column: str) -> Column:
 
 def too_hard(score: str, low: float) -> Column:
     return F.col(score) <= low
+
+
+def again(df: DataFrame) -> DataFrame:
+    """Invalid function tasks that can be asked again: they have a problem, inputs and outputs."""
+    return df.filter(F.col("problem").isNotNull() & F.col("inputs").isNotNull() & F.col("outputs").isNotNull())
+
+
+def with_hints(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("hints").isNotNull())

@@ -38,3 +38,9 @@ def metrics(df: DataFrame, path: str) -> None:
 def validation_sample(df: DataFrame, n: int, key: str = "input", seed: int = 42) -> DataFrame:
     """n rows in a seeded order that doesn't depend on partitions."""
     return df.orderBy(seeded(key, seed), key).limit(n)
+
+
+def size_report(df: DataFrame) -> DataFrame:
+    """(column, bytes) of the texts' UTF-8 and of other values' texts, largest first."""
+    sizes = df.agg(*(F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)).alias(c) for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))))
+    return sizes.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, sizes.columns)), F.array(*sizes.columns))).alias("column", "bytes")).orderBy(F.desc("bytes"), "column")
