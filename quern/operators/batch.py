@@ -10,18 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut
+
 POS = "pos"
 
 
 def positions(df: DataFrame, *order: str | Column, pos: str = POS) -> DataFrame:
-    """df with positions in a total order. Ranges of the order are sorted in parallel; each range's offset is the rows before it."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    numbered = dealt.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = numbered.groupBy("__part").agg(F.max("__in").alias("__n"))
+    """df with positions in a total order. Ranges of the order are sorted in parallel; each range's offset is the rows before it.
+
+    The sorted ranges are materialised: offsets and rows must come from the same ranges, and those depend on samples."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__mid", 33), F.col("__mid").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     offsets = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a part
-    return numbered.join(F.broadcast(offsets), "__part").withColumn(pos, F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
+    return dealt.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(pos, F.col("__before") + within).drop("__part", "__mid", "__before")
 
 
 def count(df: DataFrame) -> int:

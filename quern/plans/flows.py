@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quern.functions import code
+from quern.operators.lineage import shared_dir
 from quern.plans import synthesis, views
 from quern.plans.registry import query
 from quern.plans.views import METRICS, ROLLOUTS, TASKS, table
@@ -17,8 +17,7 @@ from quern.streaming import accumulate
 
 def scratch(spark) -> str:
     """A fresh folder below the session's shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-")
-    return f"{base}/flow-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def _messages(spark, d):

@@ -7,7 +7,6 @@ trials nor lose them with an executor.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import code, text
 from quern.operators import tasks
+from quern.operators.lineage import cut as _cut
 
 Responder = Callable[[DataFrame], DataFrame]
 
@@ -63,13 +63,6 @@ def mock_responder(seed: int = 0, miss: int = 4) -> Responder:
     return answer
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def propose(pool: DataFrame, task_type: str, responder: Responder, mode: str = "init") -> DataFrame:
     """The pool with the parsed task; code is null where the response isn't well formed."""
     said = responder(prompts(pool, task_type, mode))

@@ -229,3 +229,74 @@ def test_tasks_filters(spark):
     assert {r.task_id for r in tasks.clean(df).collect()} == {1, 2, 3}
     levels = {r.task_id: r.l for r in df.select("task_id", sampling.level("difficulty").alias("l")).collect()}
     assert levels == {1: "medium", 2: "easy", 3: None, 4: "hard"}
+
+
+@pytest.mark.parametrize(
+    "given, gold, right",
+    [("1,000", "1000", True), ("50%", "0.5", True), ("(1, 2)", "(1,2)", True), ("[1,2]", "(1,2)", False), ("3.7", "4", False), ("\\frac{1}{2}", "0.5", True), ("2 cm", "2", True), (None, "1", False), ("", "1", False), ("3.14159", "3.1416", True), ("1/2", "2/4", False)],
+)
+def test_grades(spark, given, gold, right):
+    from quern.functions import mathgrade
+
+    assert one(spark, mathgrade.grade(F.lit(given).cast("string"), F.lit(gold))) is right
+
+
+def test_case_scoring():
+    from quern.functions import rewards
+
+    assert rewards.run_cases("def f(a, b):\n    return a + b", ["1\n2", "3\n4"], ["3", "8"], "f") == [1, 0]
+    assert rewards.run_cases("print(sum(map(int, input().split())))", ["1 2", "x"], ["3\n", "0"], None) == [1, -1]
+    assert rewards.run_cases("def f(:", ["1"], ["1"], "f") == [-2]
+    assert rewards.run_cases("import sys\nprint(sys.stdin.read(), end='')", ["1.0 2"], ["1 2.0000001"], None) == [1]
+
+
+def test_registries_refuse_second_functions():
+    from quern.functions import rewards
+    from quern.sources import readers
+
+    for register in (rewards.register_scorer("math"), rewards.register_manager("dapo"), readers.register("parquet"), losses.register("gspo")):
+        with pytest.raises(ValueError):
+            register(lambda *_: None)
+    for get in (rewards.scorer, rewards.manager, readers.reader, losses.policy_loss):
+        with pytest.raises(ValueError):
+            get("none")
+
+
+def test_scorers_from_files(spark, tmp_path):
+    from quern.functions import rewards
+
+    (tmp_path / "own.py").write_text("def score(responses, golds, bonus=0.0):\n    return (responses == golds) + bonus\n")
+    own = rewards.load_scorer(str(tmp_path / "own.py"), "score", bonus=0.5, unknown=1)
+    df = spark.createDataFrame([("a", "a"), ("a", "b")], "r string, g string")
+    assert sorted(r["s"] for r in df.select(own(F.col("r"), F.col("g")).alias("s")).collect()) == [0.5, 1.5]
+
+
+def test_readers(spark, tmp_path):
+    from quern.sources import readers
+
+    made = []
+    table = lambda: made.append(1) or spark.range(3)
+    for _ in range(2):
+        assert readers.staged(spark, str(tmp_path / "t"), table).count() == 3
+    assert made == [1]
+    assert readers.json_lines(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        readers.json_lines(spark, str(tmp_path / "none"), skip_missing=False)
+    with pytest.raises(NotImplementedError):
+        readers.reader("taco")(spark, "")
+
+
+def test_a_stream_without_a_full_batch_gives_up(spark, tmp_path):
+    from quern.streaming.accumulate import GroupAccumulator
+
+    own = GroupAccumulator(str(tmp_path / "a"), batch=3, most=3)
+    rows = lambda uid, k: spark.createDataFrame([(f"{uid}", k, 0.0), (f"{uid}", k + 1, 1.0)], "uid string, event_id long, acc double")
+    own(rows("a", 0), 0)
+    own(rows("b", 2), 1)
+    own(rows("b", 2), 1)  # a retried epoch sees the same state
+    own(rows("c", 4), 2)
+    assert {r["uid"] for r in spark.read.parquet(str(tmp_path / "a" / "batches")).collect()} == {"a", "b", "c"}
+    for k in (3, 4):
+        own(rows("d", 10), k)
+    with pytest.raises(RuntimeError):
+        own(rows("d", 12), 5)
