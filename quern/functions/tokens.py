@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.batch import positions
+
 
 def _arr(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -52,9 +54,8 @@ def words(c: Column | str) -> Column:
 
 
 def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
-    """(token, id): tokens numbered in their order. Different tokens alone are ranked."""
-    own = df.select(F.explode(tokens).alias("token")).distinct()
-    return own.withColumn("id", F.row_number().over(W.orderBy("token")) - 1)
+    """(token, id): tokens numbered in their order. Different tokens alone are numbered, range by range."""
+    return positions(df.select(F.explode(tokens).alias("token")).distinct(), "token", pos="id")
 
 
 def not_too_long(tokens: str, most: int) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.batch import positions
+
 
 def long_form(row: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, name, value) of numeric columns."""
@@ -35,9 +37,8 @@ def group_statistics(df: DataFrame, group: str = "uid", score: str = "score", ep
 
 
 def group_index(df: DataFrame, group: str = "uid") -> DataFrame:
-    """df with ``gid``: groups numbered from 0 in the order of their names. Names are ranked alone, then joined."""
-    names = df.select(group).distinct()
-    return df.join(names.withColumn("gid", F.row_number().over(W.orderBy(group)).cast("long") - 1), group)
+    """df with ``gid``: groups numbered from 0 in the order of their names. Different names alone are numbered, range by range, then joined."""
+    return df.join(positions(df.select(group).distinct(), group, pos="gid"), group)
 
 
 def _ends(c: Column, name: str) -> list[Column]:
@@ -138,30 +139,28 @@ def validation_report(df: DataFrame, values: list[str], source: str = "data_sour
 
     Each group's numbers of draws run 2, 4, 8, ... up to its own size N.
     """
-    parts = []
-    for var in values:
-        keys = [source, group]
-        own = W.partitionBy(*keys)
-        base = mean_std(df, keys, var)
-        label = lambda name, n: F.concat(F.lit(f"{name}@"), n.cast("string"))
-        metric = lambda frame, name, n, col: frame.select(source, label(name, n).alias("metric"), F.col(col).cast("double").alias("value"))
-        parts_var = [metric(base, "mean", F.col("n"), "mean"), metric(base.filter("n > 1"), "std", F.col("n"), "std")]
-        n = F.count("*").over(own)
-        for name, direction in (("best", F.asc), ("worst", F.desc)):
-            rank = F.row_number().over(own.orderBy(direction(var), order))
-            rows = df.select(*keys, F.col(var).alias("v"), rank.alias("rank"), n.alias("n"))
-            rows = rows.select(*keys, "v", (F.col("rank") / F.col("n")).alias("hi"), ((F.col("rank") - 1) / F.col("n")).alias("lo"), F.explode(ladder(F.col("n"))).alias("size"))
-            rows = rows.groupBy(*keys, "size").agg(F.sum(F.col("v") * (F.pow("hi", "size") - F.pow("lo", "size"))).alias("x"))
-            parts_var.append(metric(rows, name, F.col("size"), "x").withColumn("metric", F.concat("metric", F.lit("/mean"))))
-        if pred:
-            whole = majority(df, keys, pred, var, order).join(base.select(*keys, F.col("n").alias("of")), keys)
-            parts_var.append(metric(whole.filter("of > 1"), "maj", F.col("of"), "value"))
-        for p in parts_var:
-            parts.append(p.withColumn("var", F.lit(var)))
-    rows = parts[0]
+    keys = [source, group, "var"]
+    named = F.explode(F.array(*(F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("v")) for v in values))).alias("x")
+    own = W.partitionBy(*keys)
+    # one shuffle on the keys serves the window and every aggregate below, for all variables
+    rows = df.select(source, group, order, *([pred] if pred else []), named).select(source, group, order, *([pred] if pred else []), "x.var", "x.v")
+    rows = rows.withColumns({"rank": F.row_number().over(own.orderBy("v", order)), "n": F.count("*").over(own)})
+    label = lambda name, n, end="": F.concat(F.lit(f"{name}@"), n.cast("string"), F.lit(end))
+    base = rows.groupBy(*keys, "n").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    pairs = F.array(F.struct(label("mean", F.col("n")).alias("metric"), F.col("mean").alias("value")), F.struct(label("std", F.col("n")).alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("value")))
+    parts = [base.select(source, "var", F.explode(pairs).alias("m"))]
+    at = lambda i: F.pow(i / F.col("n"), F.col("size"))
+    i, rest = F.col("rank"), F.col("n") - F.col("rank")
+    drawn = rows.withColumn("size", F.explode(ladder(F.col("n")))).groupBy(*keys, "size").agg(F.sum(F.col("v") * (at(i) - at(i - 1))).alias("best"), F.sum(F.col("v") * (at(rest + 1) - at(rest))).alias("worst"))
+    parts.append(drawn.select(source, "var", F.explode(F.array(*(F.struct(label(x, F.col("size"), "/mean").alias("metric"), F.col(x).alias("value")) for x in ("best", "worst")))).alias("m")))
+    if pred:
+        votes = rows.groupBy(*keys, "n", F.col(pred).alias("pred")).agg(F.count("*").alias("votes"), F.min(order).alias("first"), F.min_by("v", order).alias("v"))
+        whole = votes.filter("n > 1").groupBy(*keys, "n").agg(F.max_by("v", F.struct("votes", -F.col("first"))).alias("value"))
+        parts.append(whole.select(source, "var", F.struct(label("maj", F.col("n")).alias("metric"), "value").alias("m")))
+    out = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy(source, "var", "metric").agg(F.avg("value").alias("value"))
+        out = out.unionByName(p)
+    return out.select(source, "var", "m.metric", "m.value").filter("value is not null").groupBy(source, "var", "metric").agg(F.avg("value").alias("value"))
 
 
 def sections(report: DataFrame, source: str = "data_source") -> DataFrame:
