@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import ASCII_SPACE, cut, parts, without
+from quern.llm.common import ASCII_SPACE, cut, map_arrow, parts, without
 
 #: Relative error of a sketch's quantiles.
 ALPHA = 0.01
@@ -88,7 +88,7 @@ def document_stats(df: DataFrame, text: str = "text") -> DataFrame:
             columns = zip(*found, strict=True) if found else [[] for _ in COUNTS]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *COUNTS])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def base_failed():

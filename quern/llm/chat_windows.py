@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import parts
+from quern.llm.common import map_arrow, parts
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Tokens of a window, of repeated history in it, and of a turn's marks.
@@ -145,7 +145,7 @@ def windows(conversations: DataFrame, vocabulary: str, pattern: str, budget: int
             types = [batch.schema.field("conv_id").type, pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return grouped.select("conv_id", "chunk", "turns", "s").mapInArrow(run, _WINDOW.format(kind=kind))
+    return map_arrow(grouped.select("conv_id", "chunk", "turns", "s"), run, _WINDOW.format(kind=kind))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if state:
             yield _rows([end()], names, kind_of)
 
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return map_arrow(rows, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
 def _rows(rows: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -50,11 +51,28 @@ def owned(name: str, make: Callable):
     return _OWNED[1]
 
 
+#: Rows of an Arrow batch at most: whole texts are long, and executors hold a batch on both sides of each worker.
+ARROW_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with batches of at most ARROW_ROWS rows from now on in the session."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, ARROW_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few rows at a time become Python objects."""
+    """The batches in slices, so that few rows at a time become Python objects. Behind the last one the worker, which stays for later
+    tasks, gives its free memory back."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def fold(doc_id: str, parts: int):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, parts
+from quern.llm.common import cut, map_arrow, parts
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -48,7 +48,7 @@ def sized(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "h")), pa.array(sizes, pa.int64())], names=["doc_id", "source", "h", "size"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, source string, h long, size long")
+    return map_arrow(rows, run, f"doc_id {kinds['doc_id']}, source string, h long, size long")
 
 
 def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:

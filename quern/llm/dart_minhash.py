@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import cut, owned, parts
+from quern.llm.common import cut, map_arrow, owned, parts
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -211,7 +211,7 @@ def _vertices(docs: DataFrame, width: int, weighted: bool) -> DataFrame:
             bands, sig = zip(*_sign(part.column("text").to_pylist(), width, weighted), strict=True)
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc_id"), pa.array(bands, pa.binary()), pa.array(sig, pa.binary())], names=schema.names)
 
-    signed = rows.mapInArrow(run, schema)
+    signed = map_arrow(rows, run, schema)
     return signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
 
 
@@ -223,7 +223,7 @@ def _buckets(vertices: DataFrame) -> DataFrame:
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("h").take(np.repeat(np.arange(batch.num_rows), BANDS)), pa.array(keys)], names=["h", "key"])
 
-    return vertices.select("h", "bands").mapInArrow(run, "h binary, key long")
+    return map_arrow(vertices.select("h", "bands"), run, "h binary, key long")
 
 
 def _candidates(vertices: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
             near = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"])
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, near double")
+    return map_arrow(rows.select("a", "b", "sa", "sb"), run, "a binary, b binary, near double")
 
 
 def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, weighted: bool, threshold: float) -> DataFrame:
@@ -269,7 +269,7 @@ def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, w
             keys, n = zip(*packed, strict=True) if packed else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["h", "s", "n"])
 
-    own = cut(texts.select("h", "text").mapInArrow(sets, "h binary, s binary, n binary").groupBy("h").agg(F.first("s").alias("s"), F.first("n").alias("n")))
+    own = cut(map_arrow(texts.select("h", "text"), sets, "h binary, s binary, n binary").groupBy("h").agg(F.first("s").alias("s"), F.first("n").alias("n")))
     side = lambda c: own.select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, w
                     keep.append(len(i) >= threshold * (len(x) + len(y) - len(i)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a binary, b binary")
+    return map_arrow(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), compare, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

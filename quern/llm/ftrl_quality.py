@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import fold, owned, parts, without
+from quern.llm.common import fold, map_arrow, owned, parts, without
 
 BUCKETS = 1 << 18
 #: Labelled rows that train at most; a hash of the id picks them.
@@ -113,7 +113,7 @@ def score(df: DataFrame, fitted: tuple[np.ndarray, float], name: str = "score")
             raw = np.clip([float(w[at] @ values) + b for at, values in found], -40, 40)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-raw)), pa.float64())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

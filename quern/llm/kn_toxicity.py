@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import fold, owned, parts, without
+from quern.llm.common import fold, map_arrow, owned, parts, without
 
 #: Characters of a stem.
 STEM = 6
@@ -240,7 +240,7 @@ def count_model(labelled: DataFrame, part: float) -> Model:
     """The model of all rows (text, cls) of labelled, of which about this part is of class 1."""
     spark = labelled.sparkSession
     chunks = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = labelled.select("text", "cls").mapInArrow(lambda batches: _count(batches, chunks), _BLOBS)
+    found = map_arrow(labelled.select("text", "cls"), lambda batches: _count(batches, chunks), _BLOBS)
     found = found.groupBy("chunk").applyInArrow(lambda table: _merge(table, part), _BLOBS)
     # arrays over all words add up in two steps, so that no task reads those of every chunk
     found = found.groupBy("kind", (F.col("chunk") % 32).alias("some")).applyInArrow(_sum, _BLOBS)
@@ -259,7 +259,7 @@ def _values(df: DataFrame, model: Model, name: str, text: str = "text") -> DataF
             found = [own.value(x or "") for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import owned, parts, without
+from quern.llm.common import map_arrow, owned, parts, without
 
 #: Chunks and pre-tokens that a worker remembers before it starts afresh.
 CACHE_ENTRIES = 250_000
@@ -174,7 +174,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
                     found[decoded] = pa.array([own.decode(x) for x in packed], pa.binary())
                 yield _with_columns(batch.slice(a, b - a), found)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -192,7 +192,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
                 out = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in packed[a:b]]
                 yield _with_columns(batch.slice(a, b - a), {decoded: pa.array(out, pa.binary())})
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

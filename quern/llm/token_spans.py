@@ -27,7 +27,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from quern.llm.common import owned, parts
+from quern.llm.common import map_arrow, owned, parts
 
 RULES = ("start", "end", "most")
 
@@ -116,4 +116,4 @@ def attribute(df: DataFrame, vocabulary: str, pattern: str, rule: str = "start",
 
     wanted = [key, text, *([starts] if starts else [])]
     kind = dict(df.dtypes)[key]
-    return df.select(*wanted).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
+    return map_arrow(df.select(*wanted), run, f"`{key}` {kind}, " + ", ".join(f"{x} long" for x in names[1:]))
