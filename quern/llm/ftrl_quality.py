@@ -27,9 +27,9 @@ from quern.llm.common import fold, map_arrow, owned, parts, without
 BUCKETS = 1 << 18
 #: Labelled rows that train at most; a hash of the id picks them.
 MAX_ROWS = 8_000
-EPOCHS = 3
+EPOCHS = 5
 #: Step size, smoothing, and penalties of the updates.
-RATE, SMOOTH, L1, L2 = 0.6, 1.0, 1e-4, 1e-5
+RATE, SMOOTH, L1, L2 = 2.0, 1.0, 1e-4, 1e-6
 #: Labels are split in so many folds; fold 1 is held out.
 FOLDS, HELD_OUT = 3, 1
 _FIND = re.compile(r"\w+|[^\w\s]+").findall
