@@ -174,6 +174,17 @@ def prompt_rendering(spark, d):
     return synthesis.prompts(rows, "code_out", "init").select("task_id", "prompt")
 
 
+@query("SELECT task_id, CASE task_id % 3 WHEN 0 THEN 'most readers solved it.' WHEN 1 THEN 'the code failed or was not deterministic: boom' ELSE 'odd' END AS failure, CASE task_type WHEN 'code_out' THEN 'What does f(' || coalesce(input, '') || ') give? ' || code WHEN 'code_in' THEN 'Which input of f gives ' || coalesce(output, '') || '? ' || code ELSE 'Find the function: ' || coalesce(problem, '') END AS prompt FROM {k}", **K)
+def failure_texts(spark, d):
+    rows = views.tasks(spark, d).withColumns({"reason": pick("task_id", "too easy", "did not run", "odd"), "feedback": F.lit("boom")})
+    return synthesis.questions(synthesis.failures(rows)).select("task_id", "failure", "prompt")
+
+
+@query("SELECT category, string_agg(skill || ': ' || category, chr(10) ORDER BY skill) AS skills FROM (SELECT DISTINCT category, skill FROM {k}) GROUP BY category", **K)
+def skill_lists(spark, d):
+    return synthesis.skill_list(views.tasks(spark, d).withColumn("skill_description", F.col("category")))
+
+
 @query("SELECT task_type, task_type || ': ' || count(*) || ' tasks, mean success ' || printf('%.2f', avg(difficulty)) AS profile FROM {k} GROUP BY task_type", **K)
 def performance_profiles(spark, d):
     return synthesis.performance_profile(views.tasks(spark, d))

@@ -18,17 +18,27 @@ from quern.operators.lineage import cut as _cut
 
 Responder = Callable[[DataFrame], DataFrame]
 
-#: Our wording of the prompts, by task type and mode; the braces name columns.
-PROMPTS = {
-    ("code_out", "init"): "Write one function f that exercises the skill {skill} ({skill_description}), with an input and its output.",
-    ("code_in", "init"): "Write one function f that exercises the skill {skill} ({skill_description}), with an input and its output. A reader will be asked for the input.",
-    ("code_func", "init"): "State a problem whose answer is a function that needs the skill {skill} ({skill_description}), with several inputs.",
-    ("code_out", "iterative"): "An earlier task for {skill} was rejected: {reason}. Its code was {code}. Write a better one.",
-    ("code_in", "iterative"): "An earlier task for {skill} was rejected: {reason}. Its code was {code}. Write a better one.",
-    ("code_out", "mutate"): "Make harder variants of this code, as a JSON object by variant: {code}",
-    ("code_out", "crossover"): "Combine the skills {skill} with this code, as one JSON object: {code}",
-    ("code_func", "hint"): "Give three or four hints, each in its own block, for the problem: {problem}",
+#: Our wording of the prompts: what a task of a type is, and what is asked for in a mode; the braces name columns.
+_TYPES = {
+    "code_out": "Write one function f that exercises the skill {skill} ({skill_description}), with an input and its output.",
+    "code_in": "Write one function f that exercises the skill {skill} ({skill_description}), with an input and its output; a reader will be asked for the input.",
+    "code_func": "State a problem whose answer is a function that needs the skill {skill} ({skill_description}), with several inputs.",
 }
+_MODES = {
+    "init": "",
+    "iterative": " An earlier try was rejected: {failure} Its code was {code}. Write a better one.",
+    "mutate": " Make harder variants of this code along {attributes}, as one JSON object by variant: {code}",
+    "crossover": " Combine it with the skills {skills} and this code, as one JSON object: {code}",
+    "curriculum": " Given this record, {profile}, propose the next tasks as a JSON object with the list tasks.",
+    "hint": " Give three or four hints, each in its own block, for the problem: {problem}",
+}
+PROMPTS = {(kind, mode): what + how for kind, what in _TYPES.items() for mode, how in _MODES.items()}
+BANNED_NOTE = " Don't use: {banned}."
+#: What a reader is asked: to predict, or to name the skills that were used.
+PREDICT = {"code_out": "What does f({input}) give? {code}", "code_in": "Which input of f gives {output}? {code}", "code_func": "Find the function: {problem}"}
+REFLECT = "Which skill does this code need most, and which others? Answer as JSON with main_skill and other_skills. {code}"
+#: Failures by their kind.
+FAILURES = {"not well formed": "the answer's blocks could not be read.", "did not run": "the code failed or was not deterministic: {feedback}", "too easy": "most readers solved it.", "too hard": "hardly any reader solved it.", "skill not used": "the code does not need the skill."}
 
 
 def render(template: str, columns: list[str]) -> Column:
@@ -39,11 +49,43 @@ def render(template: str, columns: list[str]) -> Column:
     return out
 
 
-def prompts(df: DataFrame, task_type: str, mode: str) -> DataFrame:
+def _plain(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if t in ("string", "bigint", "double", "int")]
+
+
+def prompts(df: DataFrame, task_type: str, mode: str, banned: list[str] | None = None) -> DataFrame:
     """df with ``prompt``."""
     if (task_type, mode) not in PROMPTS:
         raise ValueError(f"no prompt for {task_type} {mode}")
-    return df.withColumn("prompt", render(PROMPTS[task_type, mode], [c for c, t in df.dtypes if t in ("string", "bigint", "double", "int")]))
+    template = PROMPTS[task_type, mode] + (BANNED_NOTE.replace("{banned}", ", ".join(banned)) if banned else "")
+    return df.withColumn("prompt", render(template, _plain(df)))
+
+
+def questions(df: DataFrame) -> DataFrame:
+    """df with ``prompt``: what a reader of the row's task type is asked."""
+    out = F.lit(None).cast("string")
+    for kind, template in PREDICT.items():
+        out = F.when(F.col("task_type") == kind, render(template, _plain(df))).otherwise(out)
+    return df.withColumn("prompt", out)
+
+
+def reflections(df: DataFrame) -> DataFrame:
+    """df with ``prompt``: which skills its code needs."""
+    return df.withColumn("prompt", render(REFLECT, _plain(df)))
+
+
+def failures(df: DataFrame) -> DataFrame:
+    """df with ``failure``: its reason in words; an unknown reason as it stands."""
+    out = F.coalesce(F.col("reason"), F.lit(""))
+    for reason, template in FAILURES.items():
+        out = F.when(F.col("reason") == reason, render(template, _plain(df))).otherwise(out)
+    return df.withColumn("failure", out)
+
+
+def skill_list(df: DataFrame, limit_text: str = "\n") -> DataFrame:
+    """(category, skills): a category's skills with their descriptions, one a line in the order of their names."""
+    lines = F.sort_array(F.collect_set(F.concat("skill", F.lit(": "), F.coalesce("skill_description", F.lit("")))))
+    return df.groupBy("category").agg(F.array_join(lines, limit_text).alias("skills"))
 
 
 def performance_profile(df: DataFrame) -> DataFrame:
