@@ -45,6 +45,8 @@ STEM = 6
 EVIDENCE, PAIR_EVIDENCE = 5.0, 15.0
 #: Buckets of stems.
 WORDS = 1 << 18
+#: Bigram types that a counting task holds, about.
+HELD = 6_000_000
 #: Slots of bigrams in the model.
 PAIRS = 1 << 20
 #: Folds that labels are split by: fold 0 is held out, fold 1 fits the curve, the others are counted.
@@ -85,8 +87,22 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
-    """Per partition: the bigram types of either class and how often each came, by chunk of slots."""
+    """The bigram types of either class and how often each came, by chunk of slots; again and again in a large partition."""
     held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = []
+        for cls in (0, 1):
+            if held[cls]:
+                keys, counts = _add(held[cls])
+                held[cls] = []
+                chunk = _slots(keys) * chunks // PAIRS
+                order = np.argsort(chunk, kind="stable")
+                ends = np.searchsorted(chunk[order], np.arange(chunks + 1))
+                rows += [(f"pairs{cls}", i, *_packed(keys[at := order[ends[i] : ends[i + 1]]], counts[at])) for i in range(chunks) if ends[i] < ends[i + 1]]
+        if rows:
+            yield _blobs(rows)
+
     for batch in parts(batches, 1024):
         fresh: list[list[np.ndarray]] = [[], []]
         for text, cls in zip(batch.column("text").to_pylist(), batch.column("cls").to_pylist(), strict=True):
@@ -96,16 +112,9 @@ def _count(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.Record
                 held[cls].append(np.unique(np.concatenate(fresh[cls]), return_counts=True))
                 if len(held[cls]) > 8:
                     held[cls] = [_add(held[cls])]
-    rows = []
-    for cls in (0, 1):
-        if held[cls]:
-            keys, counts = _add(held[cls])
-            chunk = _slots(keys) * chunks // PAIRS
-            order = np.argsort(chunk, kind="stable")
-            ends = np.searchsorted(chunk[order], np.arange(chunks + 1))
-            rows += [(f"pairs{cls}", i, *_packed(keys[at := order[ends[i] : ends[i + 1]]], counts[at])) for i in range(chunks) if ends[i] < ends[i + 1]]
-    if rows:
-        yield _blobs(rows)
+        if sum(len(keys) for own in held for keys, _ in own) > HELD:
+            yield from flush()
+    yield from flush()
 
 
 def _add(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -59,12 +59,10 @@ def test_counts_are_exact(spark):
     rng = np.random.default_rng(8)
     rows = [(" ".join(rng.choice(["aa", "bb", "cc", "dd"], 30)), int(k % 3 == 0)) for k in range(40)]
     labelled = spark.createDataFrame(rows, "text string, cls int").repartition(5)
-    kept = {}
     model = toxicity.count_model(labelled, 1 / 3)
     single = [Counter(int(x) for t, c in rows if c == k for x in toxicity.word_ids(t)) for k in (0, 1)]
     total = sum(single[0].values()) + sum(single[1].values())
     follows = Counter(w for _, w in {(int(k) >> 20, int(k) & (toxicity.WORDS - 1)) for t, _ in rows for k in toxicity.pair_keys(toxicity.word_ids(t))})
-    del kept
     both = np.array([[single[k].get(w, 0) for w in follows] for k in (0, 1)])
     surprise = toxicity._surprise(both, both[1].sum() / total)
     assert (surprise < toxicity.EVIDENCE).all()  # all words are pruned, so they follow the continuation counts in both classes
@@ -105,3 +103,13 @@ def test_updates_follow_the_leader():
     a, b = (np.array([1, 5]), np.array([0.6, 0.8])), (np.array([2]), np.array([1.0]))
     w, intercept = quality.train([(*a, 1), (*b, 0)] * 50)
     assert w[1] > 0 and w[5] > w[1] and w[2] < 0 and np.count_nonzero(w) == 3 and np.isfinite(intercept)
+
+
+def test_large_partitions_are_counted_in_pieces(tables, monkeypatch):
+    batches = tables[0].selectExpr("text", "CAST(doc_id % 2 AS INT) AS cls").toArrow().to_batches()
+    once = list(toxicity._count(iter(batches), 4))
+    monkeypatch.setattr(toxicity, "HELD", 100)
+    often = list(toxicity._count(iter(batches * 3), 4))
+    total = lambda found: toxicity._added(toxicity.pa.Table.from_batches(found))["pairs0"]
+    assert len(often) > len(once) == 1
+    assert (total(often)[0] == total(once)[0]).all() and (total(often)[1] == 3 * total(once)[1]).all()
