@@ -39,8 +39,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: For each rate: numerator, denominator, least distance of its fences from the quartiles, and whether small values fail too.
 RATES = {
     "symbol_rate": ("n_symbols", "n_words", 0.05, False),
-    "dup_line_rate": ("n_dup_lines", "n_words", 0.02, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.10, False),
+    "dup_line_rate": ("n_dup_lines", "n_words", 0.04, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.30, False),
     "word_length": ("word_chars", "n_words", 0.75, True),
 }
 
