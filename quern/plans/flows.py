@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import code
 from quern.operators.lineage import shared_dir
+from quern.operators.metrics import group_index
 from quern.plans import synthesis, views
 from quern.plans.registry import query
 from quern.plans.views import METRICS, ROLLOUTS, TASKS, table
@@ -108,6 +109,25 @@ def stream_groups(spark, d):
     return spark.read.parquet(f"{path}/groups/batches").select("event_id")
 
 
+_STEPS = "SELECT row_number() OVER (ORDER BY step) - 1 AS step, value / 40000 AS kl FROM {m} WHERE name = 'perf/click/mean'"
+
+
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED ({_STEPS}), r AS (SELECT step, 0.2 * (1 + greatest(least(kl / 0.1 - 1, 0.2), -0.2) * 64 / 10000) AS coefficient FROM s WHERE step = 0
+ UNION ALL SELECT s.step, coefficient * (1 + greatest(least(kl / 0.1 - 1, 0.2), -0.2) * 64 / 10000) FROM r JOIN s ON s.step = r.step + 1) SELECT * FROM r""",
+    "coefficient", "step", digits=8, m=METRICS,
+)
+def stream_kl_controller(spark, d):
+    path = scratch(spark)
+    rows = group_index(views.metrics(spark, d).filter("name = 'perf/click/mean'"), "step")
+    rows = rows.select(F.col("gid").alias("step"), (F.col("value") / 40000).alias("current_kl"), F.lit(64).alias("n"))
+    rows.write.parquet(f"{path}/steps")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/steps")
+    own = accumulate.CoefficientState(f"{path}/coefficient", 0.2, 0.1, 10000.0)
+    accumulate.accumulate(stream, own, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/coefficient").select("step", "coefficient")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", "total", "n", digits=4)
 def window_counts(spark, d):
     rows = table(spark, d, "events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators import sampling
-from quern.operators.metrics import reduce_named
+from quern.operators.metrics import adaptive_coefficient, reduce_named
 from quern.sources.readers import exists
 
 
@@ -67,3 +67,23 @@ def windowed_counts(stream: DataFrame, time: str = "ts", late: str = "10 minutes
     """(start, event_type, n, total): tumbling windows over event time. An addition of this engine."""
     rows = stream.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+class CoefficientState:
+    """The adaptive coefficient over a stream of steps (step, current_kl, n): each epoch goes on from where the one before it ended.
+
+    Written per epoch under the path, so a retried epoch replaces its own result only."""
+
+    def __init__(self, path: str, start: float, target: float, horizon: float):
+        self.path, self.start, self.target, self.horizon = path, start, target, horizon
+
+    def __call__(self, df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        start = self.start
+        for before in range(epoch - 1, -1, -1):  # the last epoch that had steps
+            if exists(spark, f"{self.path}/epoch={before}"):
+                last = spark.read.parquet(f"{self.path}/epoch={before}").agg(F.max_by("coefficient", "step")).first()[0]
+                if last is not None:
+                    start = last
+                    break
+        adaptive_coefficient(df, start, self.target, self.horizon).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")

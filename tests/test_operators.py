@@ -300,3 +300,37 @@ def test_a_stream_without_a_full_batch_gives_up(spark, tmp_path):
         own(rows("d", 10), k)
     with pytest.raises(RuntimeError):
         own(rows("d", 12), 5)
+
+
+def test_an_instance_of_everything_runs_on_empty_frames(spark):
+    rollouts = spark.createDataFrame([], "uid string, sample_idx int, score double, acc double, response_length int, pred int, task_type string, data_source string, event_id long, prompt_length int")
+    for f in (advantages.grpo, advantages.rloo, advantages.opo, advantages.gpg, advantages.grpo_vectorized):
+        assert f(rollouts).count() == 0
+    assert sampling.informative(rollouts, "acc").count() == 0 and metrics.per_task_metrics(rollouts).count() == 0
+    assert metrics.validation_report(rollouts, ["acc"]).count() == 0 and metrics.majority(rollouts, ["uid"], "pred", "acc", "sample_idx").count() == 0
+    toks = spark.createDataFrame([], "seq long, pos int, mask int, reward double, value double, old_logp double, new_logp double, ref_logp double, rollout_logp double, adv double")
+    assert advantages.gae(toks).count() == 0 and importance.importance_weights(toks, 2.0).count() == 0
+    assert losses.vanilla(toks).count() == 1 and importance.mismatch_metrics(toks).count() == 1
+    empty = spark.createDataFrame([], "pos long, x long")
+    for made in (batch.repeat(empty, 2), batch.pad_to_divisor(empty, 3), batch.positions(empty.drop("pos"), "x"), batch.union_columns(empty, empty), batch.chunk(empty, 2)):
+        assert made.count() == 0
+
+
+def test_null_scores_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), (None, 2, 1.0)], "uid string, sample_idx int, score double")
+    got = {r["sample_idx"]: r["advantage"] for r in advantages.rloo(df).collect()}
+    assert got[0] is None and got[2] == 1.0 and len(got) == 3
+
+
+def test_a_streamed_coefficient_goes_on_where_it_ended(spark, tmp_path):
+    from quern.streaming.accumulate import CoefficientState
+
+    kl = [(i, 0.05 + 0.02 * i, 64) for i in range(6)]
+    kinds = "step long, current_kl double, n int"
+    whole = {r["step"]: r["coefficient"] for r in metrics.adaptive_coefficient(spark.createDataFrame(kl, kinds), 0.2, 0.1, 1000.0).collect()}
+    own = CoefficientState(str(tmp_path / "c"), 0.2, 0.1, 1000.0)
+    for epoch, part in enumerate((kl[:2], [], kl[2:5], kl[5:])):
+        for _ in range(2):  # retried
+            own(spark.createDataFrame(part, kinds), epoch)
+    got = {r["step"]: r["coefficient"] for r in spark.read.parquet(str(tmp_path / "c")).collect()}
+    assert got == pytest.approx(whole)
