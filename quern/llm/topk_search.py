@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut
 
 #: Queries and candidates of a group, query rows of a tile, and terms that are added at once if their lists are nearly full.
-QUERIES, CANDIDATES, TILE, TERMS = 16_384, 65_536, 64, 16
+QUERIES, CANDIDATES, TILE, TERMS = 131_072, 65_536, 64, 16
 #: Part of a block's candidates that makes a list nearly full.
 FULL = 0.25
 #: Largest sum that a double holds exactly.
