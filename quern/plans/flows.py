@@ -93,13 +93,13 @@ def metric_sink(spark, d):
     return spark.read.schema(schemas.METRIC).json(path)
 
 
-@query("SELECT event_id FROM {r} WHERE uid IN (SELECT uid FROM (SELECT uid, min(event_id) AS first FROM {r} GROUP BY uid HAVING count(*) = 1 OR stddev_pop(acc) > 0) ORDER BY first, uid LIMIT 40)", r=ROLLOUTS)
+@query("SELECT event_id FROM {r} WHERE uid IN (SELECT uid FROM (SELECT uid, min(event_id) AS first FROM {r} GROUP BY uid HAVING count(*) = 1 OR stddev_pop(acc) > 0) ORDER BY first, uid LIMIT 10)", r=ROLLOUTS)
 def stream_groups(spark, d):
     path = scratch(spark)
     events = table(spark, d, "events")
     events.write.parquet(f"{path}/arrivals")  # a folder that a stream can watch
     stream = spark.readStream.schema(events.schema).parquet(f"{path}/arrivals")
-    own = accumulate.GroupAccumulator(f"{path}/groups", 40)
+    own = accumulate.GroupAccumulator(f"{path}/groups", 10)
 
     def rollouts(df, epoch):
         uid = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")

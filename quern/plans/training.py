@@ -362,7 +362,7 @@ def _report_sql() -> str:
     return "SELECT data_source, var, metric, avg(value) AS value FROM (" + " UNION ALL ".join(parts) + ") GROUP BY data_source, var, metric"
 
 
-@query(_report_sql(), "value", digits=5, **R)
+@query(_report_sql(), "value", digits=8, **R)
 def val_report(spark, d):
     return metrics.validation_report(views.rollouts(spark, d), ["acc", "score"])
 
