@@ -9,10 +9,11 @@ Two texts agree in a coordinate with the probability of their (weighted) Jaccard
 
 Texts that are equal are contracted first. ``BANDS`` bands of ``ROWS`` coordinates each name a bucket. In a bucket each text is
 compared to two centres, the text that shares most buckets with others and the smallest one, and small buckets are compared
-fully, so the number of comparisons grows with the number of texts and not with the square of a bucket. A comparison counts
-equal bytes of the signatures: what lies clearly above the threshold is linked, what lies clearly below is not, and what is
-near it is decided by the exact Jaccard similarity of both shingle sets. Links become classes by alternating star steps
-(large star, small star) on distributed tables.
+fully. Links become classes by alternating star steps (large star, small star) on distributed tables. Then every two texts of a
+larger bucket that are still of different classes are compared, in blocks of bounded size, so that of all texts that meet
+in a bucket no two are left uncompared unless they are of one class already; only these comparisons grow with the square of a
+bucket's unlinked rest. A comparison counts equal bytes of the signatures: what lies clearly above the threshold is linked,
+what lies clearly below is not, and what is near it is decided by the exact Jaccard similarity of both shingle sets.
 
 Cases: null texts and texts without a word link to nothing and are classes of their own; equal texts are always one class;
 null and repeated ids are allowed (rows with the same text share a class whatever their ids; a class id is the smallest id in
@@ -41,6 +42,8 @@ BANDS, ROWS = 36, 6
 K = BANDS * ROWS
 #: Buckets of up to so many texts are compared pair by pair.
 SMALL_BUCKET = 5
+#: Texts of a block, about, when the unlinked rest of a larger bucket is compared.
+BLOCK = 512
 #: Distances from the threshold, in standard deviations of the estimate, beyond which the estimate decides.
 SURE = 4.0
 #: Rows of a side that may be broadcast; larger ones are joined by shuffling.
@@ -226,11 +229,15 @@ def _buckets(vertices: DataFrame) -> DataFrame:
     return map_arrow(vertices.select("h", "bands"), run, "h binary, key long")
 
 
-def _candidates(vertices: DataFrame) -> DataFrame:
-    """Different pairs (a, b), a < b, of texts to compare."""
+def _shared(vertices: DataFrame) -> DataFrame:
+    """(key, h, n) of the buckets of n > 1 texts, materialised."""
     rows = _buckets(vertices)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(rows.join(sizes, "key"))  # only buckets of several texts go on
+    return cut(rows.join(sizes, "key"))
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """Different pairs (a, b), a < b, of texts to compare first."""
     popular = shared.groupBy("h").agg(F.sum("n").alias("popularity"))
     centres = shared.join(popular, "h").groupBy("key").agg(F.max_by("h", F.struct("popularity", "h")).alias("c"), F.min("h").alias("d"))
     stars = shared.join(centres, "key").select("h", F.explode(F.array("c", "d")).alias("other"))
@@ -240,6 +247,39 @@ def _candidates(vertices: DataFrame) -> DataFrame:
     return edges.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
+def _across(table: pa.Table, least: float) -> pa.Table:
+    """Of one bucket's blocks i and j: the pairs of texts of different classes with at least this estimate."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    own, h = table.column("own").to_numpy(), table.column("h").to_pylist()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, K)
+    number: dict[bytes, int] = {}
+    cls = np.array([number.setdefault(r, len(number)) for r in table.column("root").to_pylist()])
+    a, b, near = [], [], []
+    for c in np.unique(cls[own == i]):
+        x, y = np.flatnonzero((own == i) & (cls == c)), np.flatnonzero((own == j) & (cls > c if i == j else cls != c))
+        step = max(1, (1 << 24) // (K * max(1, len(y))))
+        for first in range(0, len(x) if len(y) else 0, step):
+            some = x[first : first + step]
+            found = (np.count_nonzero(sig[some, None, :] == sig[None, y, :], axis=2) / K - 1 / 256) / (1 - 1 / 256)
+            for k, m in zip(*np.nonzero(found >= least), strict=True):
+                p, q = h[some[k]], h[y[m]]
+                a.append(min(p, q))
+                b.append(max(p, q))
+                near.append(found[k, m])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "near": pa.array(near, pa.float64())})
+
+
+def _unlinked(shared: DataFrame, vertices: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Different pairs (a, b, near), a < b, of all texts of different classes that share a larger bucket, with at least this estimate."""
+    large = shared.filter(F.col("n") > SMALL_BUCKET).join(roots, "h")
+    mixed = large.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+    rows = large.join(mixed, "key").join(vertices.select("h", "sig"), "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "root", "sig")
+    found = rows.groupBy("key", "i", "j").applyInArrow(lambda table: _across(table, least), "a binary, b binary, near double")
+    return found.groupBy("a", "b").agg(F.first("near").alias("near"))
+
+
 def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     """pairs with the similarity that the signatures' bytes tell."""
     sig = vertices.select("h", "sig")
@@ -307,14 +347,40 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (h, root) after the classes of further links (a, b) have become one, materialised."""
+    ends = links.select("a", "b").join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b")
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return cut(roots.join(joined.toDF("root", "least"), "root", "left").select("h", F.coalesce("least", "root").alias("root")))
+
+
+def _decided(roots: DataFrame, pairs: DataFrame, exact) -> DataFrame:
+    """roots after all of pairs (a, b, near) that exact confirms. Those of most promise of each two classes come first, since further
+    ones are needed only while the classes are two."""
+    some = 1
+    while True:
+        ends = pairs.select("a", "b", "near").join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").filter("ra != rb")
+        order = W.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("near"), "a", "b")
+        pairs = cut(ends.select("a", "b", "near", F.row_number().over(order).alias("rank")))
+        if pairs.isEmpty():
+            return roots
+        roots = _merged(roots, exact(pairs.filter(F.col("rank") <= some)))
+        pairs, some = pairs.filter(F.col("rank") > some), 16 * some
+
+
 def _classes(docs: DataFrame, threshold: float, width: int, weighted: bool) -> DataFrame:
     """(h, doc_id, root) of each different text with words, materialised."""
     vertices = cut(_vertices(docs, width, weighted))
-    near = cut(_estimate(_candidates(vertices), vertices).filter(F.col("near") >= threshold - SURE * math.sqrt(threshold * (1 - threshold) / K)))
+    shared, least = _shared(vertices), threshold - SURE * math.sqrt(threshold * (1 - threshold) / K)
+    near = cut(_estimate(_candidates(shared), vertices).filter(F.col("near") >= least))
     sure = F.col("near") - SURE * F.sqrt(F.greatest(F.col("near") * (1 - F.col("near")), F.lit(1.0 / K)) / K) >= threshold
-    links = near.filter(sure).select("a", "b").unionByName(_exact(near.filter(~sure), vertices, docs, width, weighted, threshold))
-    roots = components(links)
-    return cut(vertices.select("h", "doc_id").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")))
+    exact = lambda pairs: _exact(pairs, vertices, docs, width, weighted, threshold)
+    roots = components(near.filter(sure).select("a", "b").unionByName(exact(near.filter(~sure))))
+    roots = cut(vertices.select("h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root")))
+    rest = cut(_unlinked(shared, vertices, roots, least))
+    if not rest.isEmpty():
+        roots = _decided(_merged(roots, rest.filter(sure)), rest.filter(~sure), exact)
+    return cut(vertices.select("h", "doc_id").join(roots, "h"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, weighted: bool = False) -> DataFrame:

@@ -101,6 +101,15 @@ def test_a_large_family_and_exact_copies_are_one_class(docs_of):
     assert {r["class_id"] for r in mh.near_duplicates(docs_of(rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [mh.BLOCK, 7])
+def test_a_large_family_without_its_base_matches_brute_force(docs_of, monkeypatch, block):
+    monkeypatch.setattr(mh, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    base = random_text(rng, 200)
+    rows = [(i, edited(rng, base, 1 + i % 5), "en", "s") for i in range(500)]
+    check(mh.near_duplicates(docs_of(rows)).collect(), rows)
+
+
 def test_odd_rows_and_empty_tables(docs_of):
     rows = [r for r in ODD if r[0] is not None]
     wordless = {1, 2, 3}
