@@ -311,10 +311,12 @@ def workload(spark, d):
 
 @query("SELECT event_type AS step, 8 AS parts, true AS ok FROM events GROUP BY event_type", longs="parts")
 def balanced_partitions(spark, d):
-    rows = views.rollouts(spark, d).filter("event_id < 2000").withColumn("cost", partition.workload(F.col("response_length").cast("double")))
+    rows = views.rollouts(spark, d).withColumn("cost", partition.workload(F.col("response_length").cast("double")))
     parts = partition.balanced(rows.select("event_id", "task_type", "cost"), "cost", 8, "event_id", ["task_type"])
-    sums = parts.groupBy("task_type", "part").agg(F.sum("cost").alias("s"))
-    return sums.groupBy(F.col("task_type").alias("step")).agg(F.count("*").alias("parts"), (F.max("s") - F.min("s") < 0.02 * F.avg("s")).alias("ok"))
+    sums = parts.groupBy("task_type", "part").agg(F.sum("cost").alias("s"), F.count("*").alias("n"))
+    whole = table(spark, d, "events").groupBy(F.col("event_type").alias("step")).agg(F.count("*").alias("all"))
+    steps = sums.groupBy(F.col("task_type").alias("step")).agg(F.count("*").alias("parts"), (F.max("s") - F.min("s") < 0.02 * F.avg("s")).alias("near"), F.sum("n").alias("n"))
+    return steps.join(whole, "step").select("step", "parts", (F.col("near") & (F.col("n") == F.col("all"))).alias("ok"))
 
 
 @query("SELECT 1 AS ok, count(*) AS n FROM events WHERE event_id < 1000", longs="ok n")

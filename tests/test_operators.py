@@ -316,6 +316,15 @@ def test_an_instance_of_everything_runs_on_empty_frames(spark):
         assert made.count() == 0
 
 
+def test_the_balanced_query_takes_every_event(spark, tmp_path):
+    from quern.plans import shapes
+
+    events = spark.range(400).selectExpr("id + 100000 AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "concat('t', id % 2) AS event_type", "1.0D AS value", """'{"k": 7}' AS props""")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = shapes.balanced_partitions(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("t0", 8, True), ("t1", 8, True)]
+
+
 def test_null_scores_keep_their_rows(spark):
     df = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), (None, 2, 1.0)], "uid string, sample_idx int, score double")
     got = {r["sample_idx"]: r["advantage"] for r in advantages.rloo(df).collect()}
