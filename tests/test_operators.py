@@ -325,6 +325,16 @@ def test_the_balanced_query_takes_every_event(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("t0", 8, True), ("t1", 8, True)]
 
 
+def test_the_synthesis_query_takes_every_task(spark, tmp_path, monkeypatch):
+    from quern.plans import flows
+
+    parts = spark.range(30).selectExpr("id + 1 AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "1.0D AS p_retailprice")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(flows.synthesis, "until_valid", lambda pool, *rest, **more: (pool, None))
+    monkeypatch.setattr(flows.synthesis, "publish", lambda frames: frames[0].selectExpr("*", "'' AS code", "'' AS input", "'' AS output", "0.0D AS difficulty"))
+    assert flows.synthesis_loop(spark, str(tmp_path)).count() == 30
+
+
 def test_null_scores_keep_their_rows(spark):
     df = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), (None, 2, 1.0)], "uid string, sample_idx int, score double")
     got = {r["sample_idx"]: r["advantage"] for r in advantages.rloo(df).collect()}
