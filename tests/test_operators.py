@@ -335,6 +335,22 @@ def test_the_synthesis_query_takes_every_task(spark, tmp_path, monkeypatch):
     assert flows.synthesis_loop(spark, str(tmp_path)).count() == 30
 
 
+def test_the_sampler_query_sees_a_late_difference(spark, tmp_path, monkeypatch):
+    from quern.plans import extras
+
+    parts = spark.range(60).selectExpr("id + 1 AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "1.0D AS p_retailprice")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    assert extras.samplers(spark, str(tmp_path)).first()["sorted_"]
+    calls = []
+
+    def ordered(df, how, key, seed=0):
+        calls.append(how)
+        return df.orderBy(F.when(F.col(key) > 55, F.col(key) * (-1) ** len(calls)).otherwise(-1000), key)
+
+    monkeypatch.setattr(extras.sampling, "ordered", ordered)
+    assert not extras.samplers(spark, str(tmp_path)).first()["sorted_"]
+
+
 def test_null_scores_keep_their_rows(spark):
     df = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), (None, 2, 1.0)], "uid string, sample_idx int, score double")
     got = {r["sample_idx"]: r["advantage"] for r in advantages.rloo(df).collect()}
