@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,17 +25,50 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def aliased(df: DataFrame, name: str | None = None):
+    """df with its columns renamed to __0, __1, ..., names that no operator uses; or the new one of the column of this name."""
+    if name is not None:
+        return F.col(f"__{df.columns.index(name)}")
+    return df.toDF(*(f"__{i}" for i in range(len(df.columns))))
+
+
+def named(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of aliased(df) in rows, under the names that they have in df."""
+    return rows.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(df.columns)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of the session's spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder of the session's spark.checkpoint.dir. Without one, a temporary folder serves a local session; on a cluster that is
+    an error, since executors could not read it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where is None:
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-checkpoint-")
+        where = sc.getCheckpointDir()
+    if where is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="quern-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is there goes when the session's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that later steps neither recompute it nor depend on an executor."""
     shared_dir(df.sparkSession)

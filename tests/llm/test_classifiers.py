@@ -1,5 +1,7 @@
 """The quality classifier and the toxicity models: held-out accuracy, exact counts, odd rows."""
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -55,37 +57,70 @@ def test_only_ordinary_documents_stay(tables):
     assert np.mean([(x[0] in ids) == (x[2] == 0) for x in truth]) > 0.97
 
 
-def test_counts_are_exact(spark):
-    rng = np.random.default_rng(8)
-    rows = [(" ".join(rng.choice(["aa", "bb", "cc", "dd"], 30)), int(k % 3 == 0)) for k in range(40)]
-    labelled = spark.createDataFrame(rows, "text string, cls int").repartition(5)
-    model = toxicity.count_model(labelled, 1 / 3)
-    single = [Counter(int(x) for t, c in rows if c == k for x in toxicity.word_ids(t)) for k in (0, 1)]
-    total = sum(single[0].values()) + sum(single[1].values())
-    follows = Counter(w for _, w in {(int(k) >> 20, int(k) & (toxicity.WORDS - 1)) for t, _ in rows for k in toxicity.pair_keys(toxicity.word_ids(t))})
-    both = np.array([[single[k].get(w, 0) for w in follows] for k in (0, 1)])
-    surprise = toxicity._surprise(both, both[1].sum() / total)
-    assert (surprise < toxicity.EVIDENCE).all()  # all words are pruned, so they follow the continuation counts in both classes
-    share = {w: (n + 1) / (sum(follows.values()) + toxicity.WORDS) for w, n in follows.items()}
-    for w, p in share.items():
-        assert model.word[0][w] == pytest.approx(p) and model.word[1][w] == pytest.approx(p)
-
-
-def test_probabilities_sum_to_one(tables):
-    docs, labels, _ = tables
-    model, _, _ = toxicity.fit(docs, labels)
-    for c in (0, 1):
-        assert model.word[c].sum() == pytest.approx(1)
-        for v in (int(toxicity.word_ids("word7")[0]), int(toxicity.word_ids("vile")[0]), toxicity._START):
-            keys = model.kept[(model.kept >> 20) == v]
-            assert model.share[c][toxicity._slots(keys)].sum() + model.rest[c][v] == pytest.approx(1, abs=1e-4)
+def plain_values(rows, asked):
+    """The values by the formulas, over dictionaries."""
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    paired = lambda t: list(zip(["^", *split(t)], split(t), strict=False))
+    own = [Counter(x for t, c in rows if c == k for x in paired(t)) for k in (0, 1)]
+    both = own[0] + own[1]
+    follows = [Counter(w for _, w in x) for x in (*own, both)]
+
+    def order(n0, n1, n):
+        total = [max(1, sum(x.values())) for x in (n0, n1, n)]
+        seen = Counter(n.values())
+        d = min(0.95, seen[1] / (seen[1] + 2 * seen[2])) if seen[1] else 0.5
+        rest = [1 - sum(max(v - toxicity.DISCOUNT, 0) for v in x.values()) / t for x, t in zip((n0, n1), total, strict=False)]
+
+        def ratio(x):
+            s = (n[x] - d) / total[2] if n[x] else 1.0
+            k = [max(y[x] - toxicity.DISCOUNT, 0) / t + r * s for y, t, r in zip((n0, n1), total, rest, strict=False)]
+            p = [toxicity.SHARED * s + (1 - toxicity.SHARED) * y for y in k]
+            return math.log(p[1] / p[0])
+
+        return ratio
 
+    words, pairs = order(*follows), order(*own, both)
+    out = []
+    for t in asked:
+        n = len(split(t))
+        total = sum(map(words, split(t))) + toxicity.PAIRS * sum(pairs(x) for x in paired(t) if both[x])
+        out.append(total / (n + toxicity.PRIOR) if n else None)
+    return out
 
-def test_the_curve_separates():
+
+@pytest.mark.parametrize("slots, bits, segment", [((19, 21), (25, 27), 16_384), ((2, 3), (5, 6), 300), ((3, 2), (3, 3), 257)])
+def test_values_are_those_of_a_plain_model(spark, slots, bits, segment):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["aa", "bb", "Cc", "dd", "ee", *(f"w{k}" for k in range(60))], int(rng.integers(0, 40)))) for k in range(300)]
+    rows = [(t, int(k % 3 == 0)) for k, t in enumerate(texts)]
+    model = toxicity.count_model(spark.createDataFrame(rows, "text string, cls int").repartition(5), 0, slots, bits)
+    asked = [*texts, None, "", " ... ", "unseen", "aa unseen aa", "aa " * 50_000, "aa bb " * 3] + [f"w{k} new{k}" for k in range(600)]
+    got = dict(toxicity.values(spark.createDataFrame(list(enumerate(asked)), "id long, text string").repartition(3), model, "id", most=segment).toLocalIterator())
+    assert len(got) == len(asked)
+    for i, value in enumerate(plain_values(rows, asked)):
+        assert got[i] == pytest.approx(value, abs=1e-9) if value is not None else got[i] is None
+
+
+def test_probabilities_sum_to_one(spark):
+    rng = np.random.default_rng(3)
+    n0, n1 = rng.integers(0, 9, 500), rng.integers(0, 4, 500)
+    n = n0 + n1
+    n0, n1, n = n0[n > 0], n1[n > 0], n[n > 0]
+    over = [np.maximum(x - toxicity.DISCOUNT, 0).sum() for x in (n0, n1)]
+    order = toxicity.Order(len(n), (n == 1).sum(), (n == 2).sum(), n0.sum(), n1.sum(), n.sum(), *over)
+    shared = (n - order.d) / order.total
+    for own, total, rest in zip((n0, n1), order.own, order.rest, strict=True):
+        p = toxicity.SHARED * shared + (1 - toxicity.SHARED) * (np.maximum(own - toxicity.DISCOUNT, 0) / total + rest * shared)
+        unseen = order.d * len(n) / order.total * (toxicity.SHARED + (1 - toxicity.SHARED) * rest)
+        assert p.sum() + unseen == pytest.approx(1)
+
+
+def test_the_curve_ascends_and_separates():
     x = np.linspace(-1, 1, 200)
-    slope, intercept = toxicity.fit_curve(x, (x > 0.3).astype(float), np.ones(200))
-    assert slope > 0 and abs(-intercept / slope - 0.3) < 0.02
-    assert toxicity.fit_curve(np.zeros(0), np.zeros(0), np.zeros(0))[0] == 0.0
+    at, height = toxicity.fit_curve(x, (x > 0.3).astype(float), np.ones(200))
+    assert (np.diff(at) >= 0).all() and (np.diff(height) >= 0).all() and abs(np.interp(0.3, at, height) - 0.5) < 0.45
+    assert np.interp(0.2, at, height) < 0.1 and np.interp(0.4, at, height) > 0.9
+    assert (toxicity.fit_curve(np.zeros(0), np.zeros(0), np.zeros(0))[1] == 0).all()
 
 
 @pytest.mark.parametrize("make", [quality.quality, toxicity.toxicity])
@@ -107,9 +142,17 @@ def test_updates_follow_the_leader():
 
 def test_large_partitions_are_counted_in_pieces(tables, monkeypatch):
     batches = tables[0].selectExpr("text", "CAST(doc_id % 2 AS INT) AS cls").toArrow().to_batches()
+    total = lambda found: toxicity._summed(*toxicity._read(toxicity.pa.Table.from_batches(found), "pairs"))
     once = list(toxicity._count(iter(batches), 4))
     monkeypatch.setattr(toxicity, "HELD", 100)
     often = list(toxicity._count(iter(batches * 3), 4))
-    total = lambda found: toxicity._added(toxicity.pa.Table.from_batches(found))["pairs0"]
     assert len(often) > len(once) == 1
-    assert (total(often)[0] == total(once)[0]).all() and (total(often)[1] == 3 * total(once)[1]).all()
+    (keys, counts), (again, more) = total(once), total(often)
+    assert (again == keys).all() and all((y == 3 * x).all() for x, y in zip(counts, more, strict=True))
+
+
+def test_columns_of_any_name_stay(tables):
+    docs, labels, _ = tables
+    odd = docs.selectExpr("*", "1 AS __0", "2 AS `a.b`", "3 AS bad")
+    kept = toxicity.keep_ordinary(odd, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
