@@ -2,10 +2,12 @@
 
 ``document_stats`` measures every whole text. ``sketches`` keeps, for each language, source and rate, a histogram over
 logarithmic buckets (relative error ``ALPHA``): sketches of parts merge by adding counts, so one ``groupBy`` with partial
-sums builds them, however many rows a source has. ``thresholds`` reads quartiles off the merged sketches and puts a fence
-``fence`` interquartile ranges, and at least the rate's slack, outside them. Groups of fewer than ``min_docs`` documents use
-the sketch of their language, and small languages that of the whole table. ``judge`` joins documents with the thresholds
-of their group. Documents that fail the base rules stay out of the sketches.
+sums builds them, however many rows a source has. ``thresholds`` reads the buckets of the quartiles off the merged sketches and
+puts a fence ``fence`` interquartile ranges (of buckets, so of logarithms) outside them. The rates of things that most texts
+lack are (count + 1) / (words + 1): a text without any stands at what its length can tell, so the quartiles of these rates
+spread as the lengths and counts of the group do, and no constant has to. Groups of fewer than ``min_docs`` documents use the
+sketch of their language, and small languages that of the whole table. ``judge`` joins documents with the thresholds of their
+group. Documents that fail the base rules stay out of the sketches.
 
 Cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of their own;
 repeated rows count and are judged one by one; very long texts are measured whole; an empty table gives no rows; input
@@ -24,24 +26,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import ASCII_SPACE, cut, map_arrow, parts, without
+from quern.llm.common import ASCII_SPACE, aliased, cut, map_arrow, named, parts, without
 
 #: Relative error of a sketch's quantiles.
 ALPHA = 0.01
 #: Documents that a group's own sketch needs.
 MIN_DOCS = 50
-#: Interquartile ranges between a quartile and its fence.
-FENCE = 3.0
+#: Interquartile ranges between a quartile and its fence: those of Tukey's outer fences.
+FENCE = 3
 #: Thresholds that may be broadcast, in rows; larger tables are joined by shuffling.
 BROADCAST_ROWS = 50_000
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: For each rate: numerator, denominator, least distance of its fences from the quartiles, and whether small values fail too.
+#: For each rate: numerator, denominator, what is added to both, and whether small values fail too.
 RATES = {
-    "symbol_rate": ("n_symbols", "n_words", 0.05, False),
-    "dup_line_rate": ("n_dup_lines", "n_words", 0.04, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.30, False),
-    "word_length": ("word_chars", "n_words", 0.75, True),
+    "symbol_rate": ("n_symbols", "n_words", 1, False),
+    "dup_line_rate": ("n_dup_lines", "n_words", 1, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 1, False),
+    "word_length": ("word_chars", "n_words", 0, True),
 }
 
 
@@ -100,44 +102,41 @@ def _group_key(name: str):
     return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("null"))
 
 
-def _rate(name: str):
-    over, under, _, _ = RATES[name]
-    return F.try_divide(F.col(over).cast("double"), F.col(under).cast("double"))
+_LOG_GAMMA = math.log((1 + ALPHA) / (1 - ALPHA))
 
 
-_LOG_GAMMA = math.log((1 + ALPHA) / (1 - ALPHA))
-#: The bucket of the value 0, below those of all positive rates.
-_ZERO = -1_000_000
+def _bucket(name: str):
+    """The bucket of a rate that is above 0; null elsewhere."""
+    over, under, more, _ = RATES[name]
+    rate = F.try_divide((F.col(over) + more).cast("double"), (F.col(under) + more).cast("double"))
+    return F.when(rate > 0, F.ceil(F.log(rate) / F.lit(_LOG_GAMMA))).cast("int")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang_key, source_key, rate, bucket, n): the merged histograms of the documents that pass the base rules."""
-    values = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), _rate(r).alias("v")) for r in RATES))).alias("x")
+    values = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), _bucket(r).alias("bucket")) for r in RATES))).alias("x")
     rows = stats.filter(~base_failed()).select(_group_key("lang").alias("lang_key"), _group_key("source").alias("source_key"), values)
-    bucket = F.when(F.col("x.v") <= 0, F.lit(_ZERO)).otherwise(F.ceil(F.log(F.col("x.v")) / F.lit(_LOG_GAMMA))).cast("int")
-    return rows.groupBy("lang_key", "source_key", F.col("x.rate").alias("rate"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.groupBy("lang_key", "source_key", F.col("x.rate").alias("rate"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def _quartiles(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rate, docs, q1, q3) of sketches merged by keys."""
+    """(keys, rate, docs, q1, q3) of sketches merged by keys; quartiles are buckets."""
     merged = parts.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     own = W.partitionBy(*keys, "rate")
     merged = merged.withColumn("upto", F.sum("n").over(own.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("docs", F.sum("n").over(own))
-    value = F.when(F.col("bucket") == _ZERO, F.lit(0.0)).otherwise(F.exp((F.col("bucket") - 0.5) * _LOG_GAMMA))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), value))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("docs") * q), F.col("bucket")))
     return merged.groupBy(*keys, "rate").agg(F.max("docs").alias("docs"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
 def thresholds(parts: DataFrame, fence: float = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang_key, source_key, low_<rate>, high_<rate>): the fences of each language and source."""
+    """(lang_key, source_key, low_<rate>, high_<rate>): the fences of each language and source, as buckets."""
     levels = [_quartiles(parts, ["lang_key", "source_key"]), _quartiles(parts, ["lang_key"]), _quartiles(parts, [])]
     out = levels[0]
     for i, (level, keys) in enumerate(zip(levels[1:], (["lang_key", "rate"], ["rate"]), strict=True)):
         out = out.join(level.select(*keys, *(F.col(c).alias(f"{c}_{i}") for c in ("docs", "q1", "q3"))), keys, "left")
     enough, more = F.col("docs") >= min_docs, F.col("docs_0") >= min_docs
     pick = lambda c: F.when(enough, F.col(c)).when(more, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1"))
-    slack = F.create_map(*(x for r, (_, _, s, _) in RATES.items() for x in (F.lit(r), F.lit(s))))[F.col("rate")]
-    reach = F.greatest(fence * (pick("q3") - pick("q1")), slack)
+    reach = fence * (pick("q3") - pick("q1"))
     out = out.select("lang_key", "source_key", "rate", (pick("q1") - reach).alias("low"), (pick("q3") + reach).alias("high"))
     one = lambda r, c: F.max(F.when(F.col("rate") == r, F.col(c))).alias(f"{c}_{r}")
     return out.groupBy("lang_key", "source_key").agg(*(one(r, c) for r in RATES for c in ("low", "high")))
@@ -150,7 +149,7 @@ def judge(stats: DataFrame, fences: DataFrame) -> DataFrame:
     small = fences.count() <= BROADCAST_ROWS
     joined = stats.withColumns({"lang_key": _group_key("lang"), "source_key": _group_key("source")})
     joined = joined.join(F.broadcast(fences) if small else fences, ["lang_key", "source_key"], "left")
-    fails = [_rate(r) > F.col(f"high_{r}") for r in RATES] + [_rate(r) < F.col(f"low_{r}") for r, x in RATES.items() if x[3]]
+    fails = [_bucket(r) > F.col(f"high_{r}") for r in RATES] + [_bucket(r) < F.col(f"low_{r}") for r, x in RATES.items() if x[3]]
     outside = F.lit(False)
     for x in fails:
         outside = outside | F.coalesce(x, F.lit(False))
@@ -166,7 +165,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the columns of docs. Counts are made again rather than carried with the texts."""
     fences = cut(thresholds(sketches(document_stats(docs.select("lang", "source", "text")).drop("text"))))
-    plain = [f"__{i}" for i in range(len(docs.columns))]  # names that nothing here uses
-    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, plain, strict=True)), "lang", "source")
-    kept = judge(document_stats(rows, plain[docs.columns.index("text")]), fences).filter("kept")
-    return kept.select(*(F.col(x).alias(c) for c, x in zip(docs.columns, plain, strict=True)))
+    own = {c: aliased(docs, c) for c in ("lang", "source", "text")}
+    rows = aliased(docs).select("*", *(own[c].alias(c) for c in ("lang", "source")))
+    return named(judge(document_stats(rows, f"__{docs.columns.index('text')}"), fences).filter("kept"), docs)

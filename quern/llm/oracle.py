@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from quern.llm import adaptive_rules as rules
-
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -24,15 +22,14 @@ SELECT d.doc_id, CASE WHEN len(w) > 0 THEN class_id ELSE d.doc_id END AS class_i
 
 
 def quality_rules() -> str:
-    """The same thresholds from the same logarithmic buckets."""
-    zero, log_gamma = rules._ZERO, repr(rules._LOG_GAMMA)
-    rates = ", ".join(f"{{'rate': '{r}', 'v': {a} / {b}, 'slack': {s}}}" for r, (a, b, s, _) in rules.RATES.items())
-    level = lambda keys: f"""SELECT {keys + ', ' if keys else ''}rate, max(docs) AS docs, min(v) FILTER (upto >= ceil(docs * 0.25)) AS q1, min(v) FILTER (upto >= ceil(docs * 0.75)) AS q3 FROM
- (SELECT *, sum(n) OVER (PARTITION BY {keys + ', ' if keys else ''}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys + ', ' if keys else ''}rate) AS docs, CASE WHEN bucket = {zero} THEN 0.0 ELSE exp((bucket - 0.5) * {log_gamma}) END AS v
+    """The same thresholds from the same logarithmic buckets: gamma is 1.01 / 0.99, fences are 3 interquartile ranges of buckets outside the
+    quartiles, and groups of fewer than 50 documents take those of their language, then those of all."""
+    rates = {"symbol_rate": "(n_symbols + 1) / (n_words + 1)", "dup_line_rate": "(n_dup_lines + 1) / (n_words + 1)", "repeat_rate": "(n_repeat_words + 1) / (n_words + 1)", "word_length": "word_chars / n_words"}
+    values = ", ".join(f"{{'rate': '{r}', 'v': {x}}}" for r, x in rates.items())
+    level = lambda keys: f"""SELECT {keys + ', ' if keys else ''}rate, max(docs) AS docs, min(bucket) FILTER (upto >= ceil(docs * 0.25)) AS q1, min(bucket) FILTER (upto >= ceil(docs * 0.75)) AS q3 FROM
+ (SELECT *, sum(n) OVER (PARTITION BY {keys + ', ' if keys else ''}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys + ', ' if keys else ''}rate) AS docs
  FROM (SELECT {keys + ', ' if keys else ''}rate, bucket, sum(n) AS n FROM sk GROUP BY {keys + ', ' if keys else ''}rate, bucket)) GROUP BY {keys + ', ' if keys else ''}rate"""
-    pick = lambda c: f"CASE WHEN a.docs >= {rules.MIN_DOCS} THEN a.{c} WHEN b.docs >= {rules.MIN_DOCS} THEN b.{c} ELSE c.{c} END"
-    slack = "CASE a.rate " + " ".join(f"WHEN '{r}' THEN {s}" for r, (_, _, s, _) in rules.RATES.items()) + " END"
-    low = ", ".join(f"'{r}'" for r, x in rules.RATES.items() if x[3])
+    pick = lambda c: f"CASE WHEN a.docs >= 50 THEN a.{c} WHEN b.docs >= 50 THEN b.{c} ELSE c.{c} END"
     # rows are told apart by their number, since ids and texts may repeat
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
  u AS (SELECT i, unnest(w) AS x, generate_subscripts(w, 1) AS k, len(w) AS n FROM d),
@@ -44,10 +41,10 @@ def quality_rules() -> str:
   CAST(CASE WHEN len(w) > 0 THEN length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) ELSE 0 END AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN rep ON rep.i = d.i LEFT JOIN dup ON dup.i = d.i),
  f AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
- long AS (SELECT i, lang, source, unnest([{rates}], recursive := true) FROM f WHERE NOT base_failed),
- sk AS MATERIALIZED (SELECT lang, source, rate, CASE WHEN v <= 0 THEN {zero} ELSE CAST(ceil(ln(v) / {log_gamma}) AS INT) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
+ long AS (SELECT i, lang, source, rate, CAST(ceil(ln(v) / ln(1.01 / 0.99)) AS INT) AS bucket FROM (SELECT i, lang, source, unnest([{values}], recursive := true) FROM f WHERE NOT base_failed)),
+ sk AS MATERIALIZED (SELECT lang, source, rate, bucket, count(*) AS n FROM long GROUP BY ALL),
  a AS ({level('lang, source')}), b AS ({level('lang')}), c AS ({level('')}),
- fence AS (SELECT a.lang, a.source, a.rate, {pick('q1')} AS q1, {pick('q3')} AS q3, {slack} AS slack FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate JOIN c ON a.rate = c.rate),
+ fence AS (SELECT a.lang, a.source, a.rate, {pick('q1')} AS q1, {pick('q3')} AS q3 FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate JOIN c ON a.rate = c.rate),
  bad AS (SELECT DISTINCT i FROM long l JOIN fence e ON l.lang IS NOT DISTINCT FROM e.lang AND l.source IS NOT DISTINCT FROM e.source AND l.rate = e.rate
-  WHERE v > e.q3 + greatest({rules.FENCE} * (e.q3 - e.q1), e.slack) OR l.rate IN ({low}) AND v < e.q1 - greatest({rules.FENCE} * (e.q3 - e.q1), e.slack))
+  WHERE bucket > q3 + 3 * (q3 - q1) OR l.rate = 'word_length' AND bucket < q1 - 3 * (q3 - q1))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.i IS NULL AS kept FROM f LEFT JOIN bad ON bad.i = f.i"""

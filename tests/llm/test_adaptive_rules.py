@@ -4,7 +4,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.conftest import ODD
@@ -27,11 +26,15 @@ def test_counts(text):
     assert rules.measure(text) == plain(text)
 
 
-def quartile(values, q):
-    gamma = math.log((1 + rules.ALPHA) / (1 - rules.ALPHA))
-    buckets = sorted(rules._ZERO if v <= 0 else math.ceil(math.log(v) / gamma) for v in values)
-    b = buckets[math.ceil(len(buckets) * q) - 1]
-    return 0.0 if b == rules._ZERO else math.exp((b - 0.5) * gamma)
+def bucket(rate):
+    return math.ceil(math.log(rate) / math.log(1.01 / 0.99))
+
+
+def fence(values):
+    """The bucket of the upper fence."""
+    b = sorted(map(bucket, values))
+    q1, q3 = (b[math.ceil(len(b) * q) - 1] for q in (0.25, 0.75))
+    return q3 + 3 * (q3 - q1)
 
 
 def text_of(i, symbols=0):
@@ -43,11 +46,24 @@ def test_thresholds_follow_groups_and_their_parents(docs_of):
     rows = [(i, text_of(i, symbols=i % 5), "en", "big") for i in range(80)] + [(100 + i, text_of(i), "en", "small") for i in range(5)] + [(200, text_of(3), None, None)]
     stats = rules.document_stats(docs_of(rows))
     got = {(r["lang_key"], r["source_key"]): r for r in rules.thresholds(rules.sketches(stats)).collect()}
-    rate = lambda r: plain(r[1])[2] / plain(r[1])[0]
+    rate = lambda r: (plain(r[1])[2] + 1) / (plain(r[1])[0] + 1)
     groups = {("=en", "=big"): rows[:80], ("=en", "=small"): rows[:85], ("null", "null"): rows}
     for key, members in groups.items():
-        q1, q3 = (quartile([rate(r) for r in members], q) for q in (0.25, 0.75))
-        assert np.isclose(got[key]["high_symbol_rate"], q3 + max(3 * (q3 - q1), 0.05))
+        assert got[key]["high_symbol_rate"] == fence([rate(r) for r in members])
+
+
+def test_groups_of_different_rates_get_different_verdicts(docs_of):
+    rows = [(1000 * g + i, text_of(i, symbols=(i % 7) * few), "en", f"s{g}") for g, few in ((0, 0), (1, 8)) for i in range(80)]
+    rows += [(9000 + g, text_of(5, symbols=45), "en", f"s{g}") for g in (0, 1)]
+    got = {r["doc_id"]: r["kept"] for r in rules.verdicts(docs_of(rows)).collect()}
+    assert all(got[i] for i in range(80)) and all(got[1000 + i] for i in range(80))
+    assert not got[9000] and got[9001]  # far outside where symbols are rare, usual where they are frequent
+
+
+def test_columns_of_any_name_stay(docs_of):
+    odd = docs_of([(i, text_of(i), "en", "s") for i in range(60)]).selectExpr("*", "1 AS __0", "2 AS `a.b`")
+    kept = rules.keep_good(odd)
+    assert kept.columns == odd.columns and kept.count() == 60
 
 
 def test_symbols_beyond_the_fence_are_rejected_and_clean_rows_kept(docs_of):
