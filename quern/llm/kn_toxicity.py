@@ -53,7 +53,7 @@ PAIRS, PRIOR = 0.3, 30
 #: Bytes of text for a chunk of the model, and chunks at least.
 CHUNK_BYTES, LEAST_CHUNKS = 128 << 20, 64
 #: Bits of the numbers of slots and of filter bits that scorers get: (words, pairs).
-SLOT_BITS, FILTER_BITS = (19, 21), (25, 27)
+SLOT_BITS, FILTER_BITS = (18, 20), (24, 26)
 #: Rows of a segment, and pairs that a counting task holds, about.
 SEGMENT, HELD = 16_384, 4_000_000
 #: Folds that labels are split by: fold 0 is held out, fold 1 fits the curve, the others are counted.
@@ -106,17 +106,31 @@ def _chunk(mixed: np.ndarray, chunks: int) -> np.ndarray:
 
 # --- tables of expressions as blobs ---------------------------------------------------------------------------------
 
-#: A blob row: ascending keys, the upper half as differences (they repeat), and up to three counts of each.
+#: A blob row: ascending keys, the upper half as differences (they repeat), and the counts of each; of pairs n is the sum of the others.
 _TABLE = "chunk int, kind string, upper binary, lower binary, n0 binary, n1 binary, n binary"
 _NAMES = [x.split()[0] for x in _TABLE.split(", ")]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    """Compressed, behind the number of bytes."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
+
+
+def _array(x: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    return np.frombuffer(_ZSTD.decompress(x[8:], size, asbytes=True) if size else b"", kind)
+
+
 def _packed(keys: np.ndarray) -> tuple[bytes, bytes]:
-    return np.diff((keys >> _U(32)).astype("<i8"), prepend=0).astype("<u4").tobytes(), (keys & _U(0xFFFFFFFF)).astype("<u4").tobytes()
+    return _bytes(np.diff((keys >> _U(32)).astype("<i8"), prepend=0).astype("<u4")), _bytes((keys & _U(0xFFFFFFFF)).astype("<u4"))
 
 
 def _keys(upper: bytes, lower: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(upper, "<u4").astype(np.uint64)).astype(np.uint64) << _U(32) | np.frombuffer(lower, "<u4").astype(np.uint64)
+    return np.cumsum(_array(upper, "<u4").astype(np.uint64)).astype(np.uint64) << _U(32) | _array(lower, "<u4").astype(np.uint64)
 
 
 def _blobs(kind: str, keys: np.ndarray, counts: tuple[np.ndarray, ...], chunks: int) -> Iterator[pa.RecordBatch]:
@@ -125,7 +139,7 @@ def _blobs(kind: str, keys: np.ndarray, counts: tuple[np.ndarray, ...], chunks:
     order = np.lexsort((keys, chunk))
     keys, chunk, counts = keys[order], chunk[order], [x[order].astype("<i8") for x in counts]
     ends = [*np.flatnonzero(np.diff(chunk, prepend=-1)), len(keys)]
-    rows = [(int(chunk[a]), kind, *_packed(keys[a:b]), *(x[a:b].tobytes() for x in counts)) for a, b in zip(ends, ends[1:], strict=False)]
+    rows = [(int(chunk[a]), kind, *_packed(keys[a:b]), *(_bytes(x[a:b]) for x in counts), *[None] * (3 - len(counts))) for a, b in zip(ends, ends[1:], strict=False)]
     if rows:
         types = [pa.int32(), pa.string(), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
@@ -156,11 +170,11 @@ def _count(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.Record
             held[:] = [merged()]
             size = len(held[0][0])
             if size > HELD // 2:
-                yield from _blobs("pairs", held[0][0], (*held[0][1], sum(held[0][1])), chunks)
+                yield from _blobs("pairs", held[0][0], tuple(held[0][1]), chunks)
                 held, size = [], 0
     if held:
         keys, counts = merged()
-        yield from _blobs("pairs", keys, (*counts, sum(counts)), chunks)
+        yield from _blobs("pairs", keys, tuple(counts), chunks)
 
 
 def _read(table: pa.Table, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -168,13 +182,14 @@ def _read(table: pa.Table, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
     rows = [r for r in table.to_pylist() if r["kind"] == kind]
     if not rows:
         return np.empty(0, np.uint64), [np.empty(0, np.int64)] * 3
-    return np.concatenate([_keys(r["upper"], r["lower"]) for r in rows]), [np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("n0", "n1", "n")]
+    counts = [np.concatenate([_array(r[c], "<i8") for r in rows]) for c in (("n0", "n1", "n") if kind == "words" else ("n0", "n1"))]
+    return np.concatenate([_keys(r["upper"], r["lower"]) for r in rows]), counts if kind == "words" else [*counts, sum(counts)]
 
 
 def _merge(kind: str, chunks: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _summed(*_read(table, kind))
-        return pa.Table.from_batches(list(_blobs(kind, keys, tuple(counts), chunks)))
+        return pa.Table.from_batches(list(_blobs(kind, keys, tuple(counts if kind == "words" else counts[:2]), chunks)))
 
     return run
 
@@ -274,6 +289,7 @@ class Model:
             known.keys[slot[more]], known.weight[slot[more]] = keys[more], self.weigh(r["kind"], n0, n1, n)[more]
             piece = np.frombuffer(bytes(r["bits"]), np.uint8)
             known.filter[r["first"] : r["first"] + len(piece)] |= piece
+        self.shared = tables.sparkSession.sparkContext.broadcast(self.known)  # of a fixed size: slots and filter bits
 
     def weigh(self, kind: str, n0: np.ndarray, n1: np.ndarray, n: np.ndarray) -> np.ndarray:
         return _weigh(self.orders[kind], kind, n0, n1, n)
@@ -314,8 +330,7 @@ def values(df: DataFrame, model: Model, key: str, text: str = "text", curve: tup
 
     most: rows of a segment, up to 65536.
     """
-    spark, chunks, orders = df.sparkSession, model.chunks, model.orders
-    shared = spark.sparkContext.broadcast(model.known)  # of a fixed size: slots and filter bits
+    shared, chunks, orders = model.shared, model.chunks, model.orders
     own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     keys = T.ArrayType(own.schema["key"].dataType)
     # a segment's own row (its keys, numbers of words, sums), or the rest of its expressions in one chunk
@@ -332,7 +347,7 @@ def values(df: DataFrame, model: Model, key: str, text: str = "text", curve: tup
             nonlocal number, rows
             segment = f"{task}-{number}-{digest.hexdigest()}"
             n, sums = np.concatenate(held["n"]), np.concatenate(held["sums"])
-            out = [(xxhash.xxh32_intdigest(segment) % chunks, segment, pa.concat_arrays(held["rows"]).to_pylist(), n.astype("<i8").tobytes(), sums.tobytes(), None, None, None)]
+            out = [(xxhash.xxh32_intdigest(segment) % chunks, segment, pa.concat_arrays(held["rows"]).to_pylist(), _bytes(n.astype("<i8")), _bytes(sums), None, None, None)]
             cold, at = np.concatenate(held["cold"]), np.concatenate(held["at"])
             chunk = _chunk(_mix(cold), chunks)
             order = np.lexsort((cold, chunk))
@@ -340,7 +355,7 @@ def values(df: DataFrame, model: Model, key: str, text: str = "text", curve: tup
             ends = [*np.flatnonzero(np.diff(chunk, prepend=-1)), len(cold)]
             for a, b in zip(ends, ends[1:], strict=False):
                 found, count = np.unique(cold[a:b], return_counts=True)
-                out.append((int(chunk[a]), segment, None, count.astype("<u4").tobytes(), None, *_packed(found), at[a:b].astype("<u2").tobytes()))
+                out.append((int(chunk[a]), segment, None, _bytes(count.astype("<u4")), None, *_packed(found), _bytes(at[a:b].astype("<u2"))))
             held.clear()
             digest.reset()
             number, rows = number + 1, 0
@@ -377,9 +392,9 @@ def values(df: DataFrame, model: Model, key: str, text: str = "text", curve: tup
                 continue
             asked = _keys(r["upper"], r["lower"])
             place = np.searchsorted(keys[:-1], asked)
-            each = np.repeat(np.where(keys[place] == asked, weight[place], 0.0), np.frombuffer(r["n"], "<u4"))
-            at, which = np.unique(np.frombuffer(r["at"], "<u2"), return_inverse=True)
-            out.append((r["segment"], r["chunk"], None, None, np.bincount(which, each, len(at)).tobytes(), at.tobytes()))
+            each = np.repeat(np.where(keys[place] == asked, weight[place], 0.0), _array(r["n"], "<u4"))
+            at, which = np.unique(_array(r["at"], "<u2"), return_inverse=True)
+            out.append((r["segment"], r["chunk"], None, None, _bytes(np.bincount(which, each, len(at))), _bytes(at)))
         types = [pa.string(), pa.int32(), rows.schema.field("rows").type, *[pa.binary()] * 3]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=answer.names)
 
@@ -387,9 +402,9 @@ def values(df: DataFrame, model: Model, key: str, text: str = "text", curve: tup
         rows = sorted(table.select(["chunk", "rows", "n", "sums", "at"]).to_pylist(), key=lambda r: r["chunk"])
         if [r["chunk"] for r in rows[:2]].count(-1) != 1:
             raise RuntimeError(f"segment {table.column('segment')[0]} came in another order when it was read again")
-        n, sums = np.frombuffer(rows[0]["n"], "<i8"), np.frombuffer(rows[0]["sums"]).copy()
+        n, sums = _array(rows[0]["n"], "<i8"), _array(rows[0]["sums"], "<f8").copy()
         for r in rows[1:]:
-            sums[np.frombuffer(r["at"], "<u2")] += np.frombuffer(r["sums"])
+            sums[_array(r["at"], "<u2")] += _array(r["sums"], "<f8")
         value = np.where(n > 0, (sums + orders["words"].unseen * n) / (n + PRIOR), 0.0)
         value = value if curve is None else np.interp(value, *curve)
         return pa.table({"key": pa.array(rows[0]["rows"], table.schema.field("rows").type.value_type), "value": pa.array(value, mask=n == 0)})
