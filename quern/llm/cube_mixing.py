@@ -1,18 +1,19 @@
 """Mixing sources to target weights by the cube method's balanced sampling.
 
 A document's size is its number of words. The sources' targets share a budget by weight, none above ``MOST`` times its size
-(the excess goes to the others by weight, until none is above). A source is taken at the rate target / size: every document
-the whole part of the rate times, and once more with the fractional part as its inclusion probability. The vector of these
-probabilities is moved at random inside the null space of two constraints, the number of documents and the number of words,
-until nearly all are 0 or 1: of three fractional units at a time, a step along the constraints' cross product keeps both
-totals exactly and settles at least one unit. Sources are cut into blocks by a hash; each block leaves two units at most,
-which meet in further blocks, level by level, until a source has one block. That one's ``LANDING`` smallest units stay out of
-its flight and land together with the two it leaves, on the sides that miss fewest words and then fewest documents.
-Every random number follows from a hash of the block, so reruns agree.
-
-Cases: null texts have size 0; a null source is a source of its own, ranked last; rows that repeat id, source and text are
-one unit and are taken alike; sources without words have the target 0 and are taken no times; null ids are allowed; very
-long texts are counted whole; an empty table gives no rows.
+(the excess goes to the others by weight, until none is above). A source is taken at the rate target / size. Rows that are equal
+in every column are a unit: of m rows at the rate r, the whole part of m x r is taken surely, and one copy more with the rest as
+its inclusion probability. The vector of these probabilities is moved at random inside the null space of two constraints, the
+number of documents and the number of words, until nearly all are 0 or 1: of three fractional units at a time, a step along the
+constraints' cross product keeps both totals exactly and settles at least one unit. Sources are cut into blocks by a hash; each
+block leaves two units at most, which meet in further blocks, level by level, until a source has one block. The ``LANDING``
+smallest units of a source's first block stay out of all flights, and land together with the two that the last one leaves, on the
+sides that miss fewest words and then fewest documents. Every random number follows from a hash of the block, so reruns agree.
+
+Cases: null texts have size 0; a null source is a source of its own, ranked last; a unit's copies are dealt to its rows as
+evenly as they can be; columns of map type don't tell rows apart; sources without words have the target 0 and are taken no
+times; null ids are allowed; very long texts are counted whole; an empty table gives no rows; other columns, whatever their
+names, don't matter to the mix, and take returns them as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, map_arrow, parts
+from quern.llm.common import aliased, cut, map_arrow, named, parts
+from quern.operators.batch import positions
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -34,13 +36,20 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, MOST = 1.5, 2.0
 #: Units of a block, and those of a source's last block that only land.
 BLOCK, LANDING = 4096, 10
-#: Rows of a side that may be broadcast; larger ones are joined by shuffling.
+#: Rows (of about 60 bytes) of a side that may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Copies of a row that one task makes at a time.
+PIECE = 1024
+
+
+def _row_hash(docs: DataFrame):
+    """A hash of all columns (but maps) of aliased(docs)."""
+    return F.xxhash64(*(f"__{i}" for i, (_, kind) in enumerate(docs.dtypes) if "map<" not in kind))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, h, size) of each row; h is a hash of the text."""
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), "text")
+    """(doc_id, source, h, size) of each row; h is a hash of the row."""
+    rows = aliased(docs).select(*(aliased(docs, c).alias(c) for c in ("doc_id", "source")), _row_hash(docs).alias("h"), aliased(docs, "text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -52,23 +61,21 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """(source, place, units, source_size, target) of each source of units (source, size, m)."""
+    """(source, place, units, source_size, target) of each source of units (source, size, m). Sources are numbered by ranges, and the
+    level of the water is found by sums over all sources, so no task holds them all."""
     sources = units.groupBy("source").agg(F.count("*").alias("units"), F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    by_name = W.orderBy(F.col("source").isNull(), "source")  # one row a source
+    placed = positions(sources, F.col("source").isNull(), "source", pos="place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    s = sources.withColumn("place", F.row_number().over(by_name) - 1).withColumn("w", weight).withColumn("cap", most * F.col("source_size"))
-    # Sources reach their caps in the order of cap / w. One with earlier ones capped is capped itself if its even share of the rest is.
-    order = W.orderBy(F.col("cap") / F.col("w"), "place")
-    s = s.withColumn("before", F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("rest", F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)))
-    everything = W.partitionBy(F.lit(0))
-    s = s.withColumn("budget", budget * F.sum("source_size").over(everything))
-    s = s.withColumn("level", (F.col("budget") - F.col("before")) / F.col("rest")).withColumn("turn", F.row_number().over(order))
-    # the first whose even share fits under its cap sets the level; those before it are capped
-    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("turn", "level"))).over(everything)
-    target = F.least(F.col("cap"), F.coalesce(first["level"] * F.col("w"), F.col("cap")))
-    s = s.withColumn("target", target)
-    return s.select("source", "place", "units", "source_size", "target")
+    s = placed.withColumn("w", weight).withColumn("cap", most * F.col("source_size"))
+    total, rest = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    level, capped = budget * total / rest if rest else 0.0, -1
+    while True:  # sources whose even share is above their cap are capped, and the others share the rest
+        over = F.col("cap") < level * F.col("w")
+        n, held, rest = s.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        if n == capped or not rest:
+            break
+        level, capped = (budget * total - held) / rest, n
+    return s.select("source", "place", "units", "source_size", F.least(F.col("cap"), level * F.col("w")).alias("target"))
 
 
 def fly(p: np.ndarray, m: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -119,21 +126,21 @@ def land(p: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
     return p
 
 
-_UNIT = "source string, doc_id {kind}, h long, size long, m long, place int, block long, blocks long, whole int, p double"
+_UNIT = "source string, doc_id {kind}, h long, size long, m long, place long, block long, blocks long, sure long, p double"
 
 
-def _level(units: DataFrame, level: int, last: bool) -> DataFrame:
-    """units (of _UNIT) after a flight in each block, or after flight and landing."""
+def _level(units: DataFrame, level: int) -> DataFrame:
+    """units (of _UNIT) after a flight in each block, and after landing where a source has one block."""
     names = [x.split()[0] for x in _UNIT.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").combine_chunks()
-        size, m, h = (table.column(c).to_numpy() for c in ("size", "m", "h"))
-        order = np.lexsort((h, ids.fill_null(-1).to_numpy(zero_copy_only=False), -size * m))
-        p = table.column("p").to_numpy()[order]
-        rng = np.random.default_rng([level, table.column("place")[0].as_py(), table.column("block")[0].as_py()])
-        m, s = m[order].astype(float), (size * m)[order].astype(float)
-        flying = len(p) - LANDING if last else len(p)
+        size, h = (table.column(c).to_numpy() for c in ("size", "h"))
+        order = np.lexsort((h, ids.fill_null(-1).to_numpy(zero_copy_only=False), -size))
+        p, s = table.column("p").to_numpy()[order], size[order].astype(float)
+        m, last, block = np.ones(len(p)), table.column("blocks")[0].as_py() == 1, table.column("block")[0].as_py()
+        rng = np.random.default_rng([level, table.column("place")[0].as_py(), block])
+        flying = len(p) - LANDING if block == 0 else len(p)  # a source's last block is its block 0
         if flying > 2:
             p = np.concatenate([fly(p[:flying], m[:flying], s[:flying], rng), p[flying:]])
         if last:
@@ -146,42 +153,58 @@ def _level(units: DataFrame, level: int, last: bool) -> DataFrame:
 
 
 def decisions(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """(source, doc_id, h, size, m, copies, source_size, target): how often each unit of m equal rows is taken."""
+    """(source, doc_id, h, size, m, copies, source_size, target): how many copies of each unit of m equal rows are taken."""
     units = cut(sized(docs).groupBy("source", "doc_id", "h").agg(F.first("size").alias("size"), F.count("*").alias("m")))
     goals = cut(targets(units, weights, budget, most).withColumnRenamed("source", "of"))
     facts = goals.agg(F.count("*"), F.max("units")).first()
     side = F.broadcast(goals) if facts[0] <= BROADCAST_ROWS else goals
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    rows = units.join(side, F.col("source").eqNullSafe(F.col("of")))
-    rows = rows.withColumn("rate", F.round(rate, 12)).withColumn("whole", F.floor("rate").cast("int"))
+    rate = F.round(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)), 12)
+    rows = units.join(side, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
+    wanted = F.round(F.col("m") * F.col("rate"), 9)
     blocks = F.ceil(F.col("units") / BLOCK)
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "h", F.lit(9)), F.col("blocks")))
     names = [x.split()[0] for x in _UNIT.split(", ")]
-    rows = rows.withColumn("p", F.col("rate") - F.col("whole")).withColumn("place", F.col("place").cast("int")).select(*names)
+    rows = rows.withColumn("sure", F.floor(wanted)).withColumn("p", wanted - F.floor(wanted)).select(*names)
     settled = rows.filter("p <= 0")
     moving, level, most_blocks = rows.filter("p > 0"), 0, math.ceil((facts[1] or 0) / BLOCK)
     while True:
-        last = most_blocks <= 1
-        moved = cut(_level(moving, level, last))
+        moved = cut(_level(moving, level))
         settled = settled.unionByName(moved.filter("p <= 0 or p >= 1"))
-        if last:
+        if most_blocks <= 1:
             break
         # two units of each block are left at most, so that BLOCK / 2 blocks make one
-        moving = moved.filter("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / (BLOCK // 2)))
+        moving = moved.filter("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / (BLOCK // 2))).withColumn("blocks", F.ceil(F.col("blocks") / (BLOCK // 2)))
         level, most_blocks = level + 1, math.ceil(most_blocks / (BLOCK // 2))
-    found = settled.select("source", "doc_id", "h", "size", "m", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    found = settled.select("source", "doc_id", "h", "size", "m", (F.col("sure") + F.col("p").cast("long")).alias("copies"))
     return found.join(side.select("of", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
+def _repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Every row times times, numbered from 0; many copies of one row are dealt to many tasks in pieces."""
+    few = rows.filter(F.col(times) <= PIECE).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    many = rows.filter(F.col(times) > PIECE).withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(PIECE).cast("long"))))
+    many = many.repartition("__first").withColumn(number, F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + (PIECE - 1), F.col(times) - 1))))
+    return few.unionByName(many.drop("__first"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    rows = decisions(docs).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = cut(decisions(docs))
+    own = F.floor(F.col("copies") / F.col("m")) + (F.col("row") < F.col("copies") % F.col("m")).cast("long")
+    out = rows.filter("m = 1").withColumn("row", F.lit(0).cast("long")).unionByName(_repeated(rows.filter("m > 1"), "m", "row"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * own).alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs."""
-    chosen = cut(decisions(docs).filter("copies > 0").select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "copies").withColumnRenamed("copies", "__copies"))
+    chosen = cut(decisions(docs).filter("copies > 0").select(F.col("source").alias("of"), F.col("doc_id").alias("id"), "h", "m", "copies"))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__h"))
-    return docs.join(side, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__n")).drop("__n")
+    rows = aliased(docs)
+    same = aliased(docs, "doc_id").eqNullSafe(F.col("id")) & aliased(docs, "source").eqNullSafe(F.col("of")) & (F.col("own_hash") == F.col("h"))
+    found = rows.withColumn("own_hash", _row_hash(docs)).join(side, same)
+    # a row that has no equal is taken MOST times at most
+    out = found.filter("m = 1").select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("n")).drop("n")
+    if not chosen.filter("m > 1").isEmpty():  # rows that are equal in every column: one of them, as often as all are taken
+        units = found.filter("m > 1").groupBy("of", "id", "h").agg(F.first(F.struct(*rows.columns)).alias("row"), F.first("copies").alias("copies"))
+        out = out.unionByName(_repeated(units, "copies", "n").select("row.*"))
+    return named(out, docs)

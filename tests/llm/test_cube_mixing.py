@@ -1,5 +1,7 @@
 """Mixing: targets by water filling, the flight's invariants, determinism."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from llm.conftest import ODD
@@ -83,6 +85,43 @@ def test_blocks_meet_level_by_level(mixture, monkeypatch):
     assert len(got) == 900 and all(abs(taken[0] - key[1]) < 0.02 * key[1] for key, taken in by.items())
 
 
+def test_equal_rows_come_near_the_target_too(docs_of):
+    rows = [(1, "one two three", "en", "s")] * 1000 + [(2, "a b c d e f g", "en", "t")] * 3001 + [(3, "x y", "en", "t")]
+    docs = docs_of(rows)
+    got = cube.mixed(docs).collect()
+    sizes = {"s": 3000, "t": 7 * 3001 + 2}
+    want = dict(zip(("s", "t"), plain_targets(list(sizes.values())), strict=True))
+    for source, i in (("s", (1,)), ("t", (2, 3))):
+        own = [r for r in got if r["doc_id"] in i]
+        assert len(own) == sum(r[0] in i for r in rows) and all(r["taken"] <= 2 * r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - want[source]) <= 7
+    words = Counter()
+    for r in cube.take(docs).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == {k: sum(r["taken"] for r in got if (r["doc_id"] == 1) == (k == "s")) for k in ("s", "t")}
+
+
+def test_a_table_of_one_repeated_row(docs_of):
+    got = cube.mixed(docs_of([(1, "one two three", "en", "s")] * 1000)).collect()
+    assert abs(sum(r["taken"] for r in got) - 4500) <= 3 and {r["target"] for r in got} == {4500.0}
+
+
+def test_rows_that_differ_in_other_columns_stay_themselves(docs_of):
+    docs = docs_of([(1, "one two three", lang, "s") for lang in ("en", "de", "fr", "es")] * 5, clash=["__copies"]).selectExpr("*", "'x' AS `a.b`", "1 AS __0")
+    got = cube.take(docs)
+    assert got.columns == docs.columns
+    seen = Counter(r["lang"] for r in got.collect())
+    assert set(seen) == {"en", "de", "fr", "es"} and sum(seen.values()) == 30 and all(5 <= n <= 10 for n in seen.values())
+
+
+def test_the_same_source_lands_alike_beside_a_large_one(mixture, monkeypatch):
+    monkeypatch.setattr(cube, "BLOCK", 200)
+    by = {}
+    for r in cube.mixed(mixture[1]).collect():
+        by[r["source_size"], r["target"]] = by.get((r["source_size"], r["target"]), 0) + r["taken"]
+    assert all(abs(taken - key[1]) <= 5 for key, taken in by.items())
+
+
 def test_rows_are_taken_as_decided(mixture):
     rows, docs = mixture
     want = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in cube.mixed(docs).collect()}
