@@ -1,7 +1,7 @@
 """Near-duplicate classes of documents by DartMinHash signatures over five-word shingles.
 
-A text is a set of shingles (``width`` words in a row; a shorter text is one shingle of all its words), or a weighted set of
-them. Onto the plane of weight and rank over each shingle, darts fall at random but fixed places, one on average per unit of
+A text is a weighted set of shingles (``width`` words in a row; a shorter text is one shingle of all its words): each weighs as
+often as it comes, or 1 if ``weighted`` is False. Onto the plane of weight and rank over each shingle, darts fall at random but fixed places, one on average per unit of
 area; the darts below an element's weight and with a rank below a bound hit the text. Each dart belongs to one of ``K``
 coordinates, and a text's signature keeps the earliest dart of every coordinate. The bound on the rank falls with the text's
 total weight, so that a text of any length is hit by about K ln K darts, and grows for texts that left a coordinate empty.
@@ -12,12 +12,14 @@ compared to two centres, the text that shares most buckets with others and the s
 fully. Links become classes by alternating star steps (large star, small star) on distributed tables. Then every two texts of a
 larger bucket that are still of different classes are compared, in blocks of bounded size, so that of all texts that meet
 in a bucket no two are left uncompared unless they are of one class already; only these comparisons grow with the square of a
-bucket's unlinked rest. A comparison counts equal bytes of the signatures: what lies clearly above the threshold is linked,
-what lies clearly below is not, and what is near it is decided by the exact Jaccard similarity of both shingle sets.
+bucket's unlinked rest. A comparison counts equal bytes of the signatures: what lies clearly below the threshold (``BELOW`` standard
+deviations) is no link, and everything else is decided by the exact (weighted) Jaccard similarity of both shingle sets, so every
+link is exact. Texts with many comparisons are dealt to several tasks for them.
 
 Cases: null texts and texts without a word link to nothing and are classes of their own; equal texts are always one class;
 null and repeated ids are allowed (rows with the same text share a class whatever their ids; a class id is the smallest id in
-the class, null if it has none); very long texts are read whole; an empty table gives no rows.
+the class, null if it has none); very long texts are read whole; an empty table gives no rows; other columns, whatever their
+names, don't matter to the classes, and keep_one returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import cut, map_arrow, owned, parts
+from quern.llm.common import aliased, cut, map_arrow, named, owned, parts
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -44,9 +46,11 @@ K = BANDS * ROWS
 SMALL_BUCKET = 5
 #: Texts of a block, about, when the unlinked rest of a larger bucket is compared.
 BLOCK = 512
-#: Distances from the threshold, in standard deviations of the estimate, beyond which the estimate decides.
-SURE = 4.0
-#: Rows of a side that may be broadcast; larger ones are joined by shuffling.
+#: Distance below the threshold, in standard deviations of the estimate, from which on the estimate decides.
+BELOW = 5.0
+#: Comparisons of one text that meet in one task.
+TOGETHER = 4096
+#: Rows (of 40 bytes at most) of a side that may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -182,7 +186,7 @@ def _sign(texts: list[str], width: int, weighted: bool) -> list[tuple[bytes, byt
         elements = shingle_hashes(text, width)
         if len(elements):
             elements, n = np.unique(elements, return_counts=True)
-            sets.append((elements, n.astype(float) if weighted else None))
+            sets.append((elements, n.astype(float) if weighted and n.max() > 1 else None))
             at.append(i)
     out: list[tuple[bytes, bytes] | None] = [None] * len(texts)
     if sets:
@@ -294,8 +298,14 @@ def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return map_arrow(rows.select("a", "b", "sa", "sb"), run, "a binary, b binary, near double")
 
 
+def _spread(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows with the number of tasks that key's comparisons are dealt to."""
+    return rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col(key) == F.col("of"), "left").withColumn("tasks", F.coalesce("tasks", F.lit(1))).drop("of")
+
+
 def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, weighted: bool, threshold: float) -> DataFrame:
     """The pairs whose shingle sets have the threshold's similarity. Of equal texts only the one with the smallest id is read."""
+    pairs = cut(pairs.select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     wanted = cut(wanted.join(vertices, "h").select(F.col("h").alias("k"), F.col("doc_id").alias("id")))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -305,12 +315,18 @@ def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, w
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             found = [np.unique(shingle_hashes(x, width), return_counts=True) for x in batch.column("text").to_pylist()]
-            packed = [(keys.tobytes(), n.astype("<i4").tobytes()) for keys, n in found]
+            packed = [(keys.tobytes(), n.astype("<i4").tobytes() if weighted and n.max() > 1 else b"") for keys, n in found]
             keys, n = zip(*packed, strict=True) if packed else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["h", "s", "n"])
 
     own = cut(map_arrow(texts.select("h", "text"), sets, "h binary, s binary, n binary").groupBy("h").agg(F.first("s").alias("s"), F.first("n").alias("n")))
-    side = lambda c: own.select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    rows = pairs
+    for c, other in (("a", "b"), ("b", "a")):
+        # a centre's comparisons meet in many tasks, each with a copy of its set
+        hot = cut(pairs.groupBy(F.col(c).alias("of")).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("tasks")).filter("tasks > 1"))
+        left = _spread(rows, hot, c).withColumn("task", F.pmod(F.xxhash64(other), F.col("tasks")).cast("int")).drop("tasks")
+        right = _spread(own, hot, "h").select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+        rows = left.join(right, [c, "task"]).drop("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -318,15 +334,15 @@ def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, w
             for sa, na, sb, nb in zip(*(batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True):
                 x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                if weighted:
-                    m, n = np.frombuffer(na, "<i4"), np.frombuffer(nb, "<i4")
-                    both = int(np.minimum(m[i], n[j]).sum())
-                    keep.append(both >= threshold * (int(m.sum()) + int(n.sum()) - both))
+                if na or nb:
+                    m, n = (np.frombuffer(k, "<i4") if k else np.ones(len(z), np.int32) for k, z in ((na, x), (nb, y)))
+                    both, total = int(np.minimum(m[i], n[j]).sum()), int(m.sum()) + int(n.sum())
                 else:
-                    keep.append(len(i) >= threshold * (len(x) + len(y) - len(i)))
+                    both, total = len(i), len(x) + len(y)
+                keep.append(both >= threshold * (total - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), compare, "a binary, b binary")
+    return map_arrow(rows.select("a", "b", "sa", "na", "sb", "nb"), compare, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,43 +387,43 @@ def _decided(roots: DataFrame, pairs: DataFrame, exact) -> DataFrame:
 def _classes(docs: DataFrame, threshold: float, width: int, weighted: bool) -> DataFrame:
     """(h, doc_id, root) of each different text with words, materialised."""
     vertices = cut(_vertices(docs, width, weighted))
-    shared, least = _shared(vertices), threshold - SURE * math.sqrt(threshold * (1 - threshold) / K)
-    near = cut(_estimate(_candidates(shared), vertices).filter(F.col("near") >= least))
-    sure = F.col("near") - SURE * F.sqrt(F.greatest(F.col("near") * (1 - F.col("near")), F.lit(1.0 / K)) / K) >= threshold
+    shared, least = _shared(vertices), threshold - BELOW * math.sqrt(threshold * (1 - threshold) / K)
     exact = lambda pairs: _exact(pairs, vertices, docs, width, weighted, threshold)
-    roots = components(near.filter(sure).select("a", "b").unionByName(exact(near.filter(~sure))))
+    roots = components(exact(_estimate(_candidates(shared), vertices).filter(F.col("near") >= least)))
     roots = cut(vertices.select("h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root")))
     rest = cut(_unlinked(shared, vertices, roots, least))
     if not rest.isEmpty():
-        roots = _decided(_merged(roots, rest.filter(sure)), rest.filter(~sure), exact)
+        roots = _decided(roots, rest, exact)
     return cut(vertices.select("h", "doc_id").join(roots, "h"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, weighted: bool = True) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class), and class_size."""
+    docs = docs.select("doc_id", "text")
     found = _classes(docs, threshold, width, weighted)
     rows = docs.select("doc_id", F.when(F.col("text").rlike(_HAS_WORD), _key("text")).alias("h"))
     copies = rows.filter("h is not null").groupBy("h").agg(F.count("*").alias("n"))
     sized = found.join(copies, "h")
     totals = sized.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = found.select("h", "root").join(totals, "root").drop("root")
-    linked = rows.filter("h is not null").join(named, "h").select("doc_id", "class_id", "class_size")
+    classes = found.select("h", "root").join(totals, "root").drop("root")
+    linked = rows.filter("h is not null").join(classes, "h").select("doc_id", "class_id", "class_size")
     return linked.unionByName(rows.filter("h is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, weighted: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, weighted: bool = True) -> DataFrame:
     """The rows of docs without a word, and of each class the one with the smallest id; the columns are those of docs."""
-    found = _classes(docs, threshold, width, weighted)
+    rows = aliased(docs)
+    doc_id, text = aliased(docs, "doc_id"), aliased(docs, "text")
+    found = _classes(rows.select(doc_id.alias("doc_id"), text.alias("text")), threshold, width, weighted)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
-    kept = cut(first.select(F.col("k.h").alias("__h"), F.col("k.doc_id").alias("__id")))
-    columns = docs.columns
-    worded = F.col("text").rlike(_HAS_WORD)
+    kept = cut(first.select(F.col("k.h").alias("h"), F.col("k.doc_id").alias("id")))
+    worded, key = text.rlike(_HAS_WORD), F.unhex(F.md5(text))
     side = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    rows = docs.filter(worded).withColumn("__key", _key("text")).join(side, (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    # rows that repeat both id and text are rare; only where there are any is one of them picked
-    light = docs.filter(worded).select(_key("text").alias("__key"), "doc_id").groupBy("__key", "doc_id").agg(F.count("*").alias("__n")).filter("__n > 1")
+    one = rows.filter(worded).withColumn("key", key).join(side, (F.col("key") == F.col("h")) & doc_id.eqNullSafe(F.col("id")))
+    # rows that repeat both id and text are rare; only where there are any is one of them picked: the least in its other columns
+    light = rows.filter(worded).select(key.alias("key"), doc_id.alias("id")).groupBy("key", "id").agg(F.count("*").alias("n")).filter("n > 1")
     if not light.isEmpty():
-        others = [c for c in columns if c not in ("text", "doc_id")]
-        rank = F.row_number().over(W.partitionBy("__key", "doc_id").orderBy(*(F.col(c) for c, t in docs.select(others).dtypes if "map" not in t), F.lit(1)))
-        rows = rows.withColumn("__rank", rank).filter("__rank = 1")
-    return rows.select(*columns).unionByName(docs.filter(~F.coalesce(worded, F.lit(False))))
+        plain = [f"__{i}" for i, (_, kind) in enumerate(docs.dtypes) if "map<" not in kind]
+        order = F.struct(*(c for c in plain if c not in (f"__{docs.columns.index('text')}", f"__{docs.columns.index('doc_id')}")), F.lit(1))
+        one = one.groupBy("key", "id").agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+    return named(one.select(*rows.columns).unionByName(rows.filter(~F.coalesce(worded, F.lit(False)))), docs)

@@ -10,9 +10,9 @@ TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(6
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
 NEAR_DUPLICATES = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT text, min(doc_id) AS id, count(*) AS n, {_WORDS} AS w FROM documents GROUP BY text),
- g AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) > 0),
- c AS (SELECT id, count(*) AS n FROM g GROUP BY id),
- p AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
+ g AS MATERIALIZED (SELECT id, g, count(*) AS m FROM (SELECT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) > 0) GROUP BY id, g),
+ c AS (SELECT id, sum(m) AS n FROM g GROUP BY id),
+ p AS (SELECT a.id AS a, b.id AS b, sum(least(a.m, b.m)) AS m FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
  e AS MATERIALIZED (SELECT a, b FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE m >= 0.8 * (x.n + y.n - m)),
  r AS (SELECT id AS a, id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
  k AS (SELECT a AS id, min(b) AS class_id FROM r GROUP BY a),

@@ -1,5 +1,7 @@
 """Near-duplicate classes against brute force, and the signatures' estimates."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from llm.conftest import ODD
@@ -11,7 +13,7 @@ def plain_classes(rows, threshold=0.8):
     sets = []
     for _, text, *_ in rows:
         w = (text or "").encode().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else None)
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None)
     parent = list(range(len(rows)))
 
     def find(a):
@@ -22,7 +24,7 @@ def plain_classes(rows, threshold=0.8):
     for i, x in enumerate(sets):
         for j in range(i):
             y = sets[j]
-            if x and y and len(x & y) >= threshold * len(x | y):
+            if x and y and (x & y).total() >= threshold * (x | y).total():
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(rows))]
 
@@ -110,6 +112,40 @@ def test_a_large_family_without_its_base_matches_brute_force(docs_of, monkeypatc
     check(mh.near_duplicates(docs_of(rows)).collect(), rows)
 
 
+def test_pairs_in_a_template_that_all_share_are_found(docs_of):
+    rng = np.random.default_rng(12)
+    template, rows = random_text(rng, 400), []
+    for k in range(8):  # 0.83 within a pair, 0.78 to all others
+        own = random_text(rng, 20)
+        rows += [(2 * k + j, f"{template} {own} {random_text(rng, 32)}", "en", "s") for j in (0, 1)]
+    classes = plain_classes(rows)
+    assert len(set(classes)) == 8
+    check(mh.near_duplicates(docs_of(rows)).collect(), rows)
+
+
+def test_repeated_shingles_weigh(docs_of):
+    rng = np.random.default_rng(13)
+    line, rows = random_text(rng, 10), []
+    for k, (a, b) in enumerate([(20, 25), (20, 40), (2, 30)]):
+        base = random_text(rng, 20)
+        rows += [(2 * k, f"{base} {' '.join([line] * a)}", "en", "s"), (2 * k + 1, f"{base} {' '.join([line] * b)}", "en", "s")]
+    check(mh.near_duplicates(docs_of(rows)).collect(), rows)
+    assert len({r["class_id"] for r in mh.near_duplicates(docs_of(rows[:2])).collect()}) == 1
+    assert len({r["class_id"] for r in mh.near_duplicates(docs_of(rows[2:4])).collect()}) == 2
+    assert len({r["class_id"] for r in mh.near_duplicates(docs_of(rows[2:4]), weighted=False).collect()}) == 1
+
+
+def test_comparisons_of_a_hot_text_are_dealt_to_many_tasks(docs_of, families, monkeypatch):
+    monkeypatch.setattr(mh, "TOGETHER", 3)
+    check(mh.near_duplicates(docs_of(families)).collect(), families)
+
+
+def test_columns_of_any_name_stay(docs_of, families):
+    docs = docs_of([*families, families[0]], clash=["__key", "__h", "__id"]).selectExpr("*", "1 AS `a.b`", "2 AS __0")
+    kept = mh.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(plain_classes(families)))
+
+
 def test_odd_rows_and_empty_tables(docs_of):
     rows = [r for r in ODD if r[0] is not None]
     wordless = {1, 2, 3}
