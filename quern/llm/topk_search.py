@@ -1,16 +1,18 @@
 """Exact top-k search by inner product: exhaustive term-at-a-time accumulation in blocks.
 
 Vectors are rows of weighted terms: component d of a vector is the weight of term d, and a zero is no posting. Queries and
-candidates are dealt into groups of bounded size; each group of queries meets each group of candidates once, as packed
-matrices. There the postings of one term at a time are scattered into a dense array of scores: of a tile of query rows that
-hold the term, each adds weight times posting to the scores of the candidates in the term's list. Lists that hold nearly
-every candidate are added a few terms at a time as one matrix product, which is the same sum. All sums are of whole numbers and
-exact. A partition selection leaves each query's best of the group, ties to the smaller id, and a window merges the groups.
+candidates are dealt into groups of bounded size (rows and components); each group of queries meets each group of candidates
+once. There the candidates are an inverted index: the list of a term has the places and weights of the candidates that hold it,
+or, if it has more than ``FULL`` of them, a weight for every place. Of a tile of query rows, one term after the other scatters
+weight times list into the dense arrays of scores. All sums are of whole numbers and exact. A partition selection leaves each
+query's best of the group, ties to the smaller id, and a window merges the groups.
 
 Cases: vectors that are null or hold null, NaN or infinite components, and rows with a null id, take no part; vectors may
-have different lengths (missing terms weigh nothing); an empty vector scores 0 everywhere; rows that repeat an id are separate
-candidates, but none is a candidate of the query with its own id; queries that repeat an id are one query if their vectors are equal, else
-the smallest vector is taken; fewer candidates than k are all returned; ties go to the smaller id; an empty table gives no rows.
+have different lengths (missing terms weigh nothing), and very long ones cost what they hold; an empty vector scores 0
+everywhere; components or scores beyond 64 bits raise an error; rows that repeat an id are separate candidates, but none is a
+candidate of the query with its own id; queries that repeat an id are one query if their vectors are equal, else the smallest
+vector is taken; fewer candidates than k are all returned; ties go to the smaller id; an empty table gives no rows; other
+columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -25,12 +27,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut
 
-#: Queries and candidates of a group, query rows of a tile, and terms that are added at once if their lists are nearly full.
-QUERIES, CANDIDATES, TILE, TERMS = 131_072, 65_536, 64, 16
-#: Part of a block's candidates that makes a list nearly full.
+#: Rows and components of a group of queries or candidates, and query rows of a tile.
+QUERIES, CANDIDATES, CELLS, TILE = 131_072, 65_536, 1 << 23, 64
+#: Part of a group's candidates from which on a term's list has a weight for every place.
 FULL = 0.25
-#: Largest sum that a double holds exactly.
-_EXACT = 2**53
 
 
 def whole_components(vector: str, scale: float = 64.0) -> Column:
@@ -43,33 +43,73 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of whole numbers, padded by zeros to the longest."""
+def postings(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of the components that aren't 0."""
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
-    offsets = lists.offsets.to_numpy()
-    lengths, values = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(lists) else np.empty(0, np.int64)
-    out = np.zeros((len(lists), int(lengths.max()) if len(lengths) else 0), np.int64)
-    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = values
-    return out
-
-
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores (queries x candidates) of whole-number rows, term at a time."""
-    terms = min(queries.shape[1], candidates.shape[1])
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * terms
-    kind = np.float64 if largest < _EXACT else np.int64
-    scores = np.zeros((len(queries), len(candidates)), kind)
-    held = (queries[:, :terms] != 0).any(axis=0)
-    counts = np.count_nonzero(candidates[:, :terms], axis=0)
-    full = np.flatnonzero(held & (counts > FULL * len(candidates)))
-    for a in range(0, len(full), TERMS):
-        some = full[a : a + TERMS]
-        scores += queries[:, some].astype(kind) @ candidates[:, some].astype(kind).T
-    for d in np.flatnonzero(held & (counts > 0) & (counts <= FULL * len(candidates))):
-        rows, postings = np.flatnonzero(queries[:, d]), np.flatnonzero(candidates[:, d])
-        scores[np.ix_(rows, postings)] += np.outer(queries[rows, d].astype(kind), candidates[postings, d].astype(kind))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    if not len(lists) or offsets[-1] == offsets[0]:
+        return (np.empty(0, np.int64),) * 3
+    values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    at = np.flatnonzero(values)
+    row = np.searchsorted(offsets[1:] - offsets[0], at, "right")
+    return row, at - (offsets[row] - offsets[0]), values[at]
+
+
+class Index:
+    """The lists of a group of candidates, term by term."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int):
+        order = np.argsort(terms, kind="stable")
+        self.n, self.terms = n, np.unique(terms)
+        ends = np.searchsorted(terms[order], self.terms)
+        self.rows, self.weights, self.ends = rows[order], weights[order], np.append(ends, len(terms))
+        self.largest = np.maximum.reduceat(np.abs(self.weights.astype(float)), ends) if len(ends) else np.empty(0)
+        self.lists: dict[tuple[int, type], tuple[np.ndarray | None, np.ndarray]] = {}
+
+    def list_of(self, i: int, kind: type) -> tuple[np.ndarray | None, np.ndarray]:
+        """(places or None for all, weights) of the term at i."""
+        if (i, kind) not in self.lists:
+            own = slice(self.ends[i], self.ends[i + 1])
+            places, weights = self.rows[own], self.weights[own].astype(kind)
+            if len(places) > FULL * self.n:
+                every = np.zeros(self.n, kind)
+                every[places] = weights
+                places, weights = None, every
+            self.lists[i, kind] = places, weights
+        return self.lists[i, kind]
+
+
+def accumulate(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, index: Index) -> np.ndarray:
+    """Scores (n query rows x candidates) of the query rows' postings, term at a time."""
+    order = np.argsort(terms, kind="stable")
+    rows, terms, weights = rows[order], terms[order], weights[order]
+    held, first = np.unique(terms, return_index=True)
+    ends = np.append(first, len(terms))
+    _, mine, theirs = np.intersect1d(held, index.terms, assume_unique=True, return_indices=True)
+    largest = np.maximum.reduceat(np.abs(weights.astype(float)), first) if len(first) else np.empty(0)
+    bound = float((largest[mine] * index.largest[theirs]).sum())
+    # the smallest numbers that hold every sum exactly; sums modulo 2^64 are exact if the totals fit, which sums of doubles tell
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    found = _scattered(rows, weights, ends, mine, theirs, n, index, kind)
+    if bound >= 2.0**63 and (np.abs(_scattered(rows, weights, ends, mine, theirs, n, index, np.float64)) >= 2.0**63 - bound * 2.0**-40).any():
+        raise OverflowError("scores beyond 64 bits")
+    return found
+
+
+def _scattered(rows: np.ndarray, weights: np.ndarray, ends: np.ndarray, mine: np.ndarray, theirs: np.ndarray, n: int, index: Index, kind: type) -> np.ndarray:
+    scores, product = np.zeros((n, index.n), kind), np.empty((n, index.n), kind)
+    for i, j in zip(mine.tolist(), theirs.tolist(), strict=True):
+        own = slice(ends[i], ends[i + 1])
+        at, weight = rows[own], weights[own].astype(kind)
+        places, list_ = index.list_of(j, kind)
+        if places is not None:
+            scores[np.ix_(at, places)] += weight[:, None] * list_
+        elif len(at) == n:
+            scores += np.multiply(weight[np.argsort(at)][:, None], list_, out=product)
+        else:
+            scores[at] += np.multiply(weight[:, None], list_, out=product[: len(at)])
     return scores
 
 
@@ -89,9 +129,10 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, <key>, score): each query's k best other rows. vector: arrays of whole numbers."""
-    rows = cut(df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v"), is_query.alias("q")))
-    n = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    many_q, many_c = max(1, math.ceil(n[1] / QUERIES)), max(1, math.ceil(n[0] / CANDIDATES))
+    whole = F.transform(F.col(vector), lambda x: F.when(F.abs(x.cast("double")) >= 2.0**63, F.raise_error(F.lit("a component beyond 64 bits"))).otherwise(x.cast("long")))
+    rows = cut(df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")))
+    n = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1)), F.coalesce(F.sum(F.size("v")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("q"), F.size("v"))), F.lit(0))).first()
+    many_q, many_c = max(1, math.ceil(n[1] / QUERIES), math.ceil(n[3] / CELLS)), max(1, math.ceil(n[0] / CANDIDATES), math.ceil(n[2] / CELLS))
     # small inputs still spread over tasks
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many_c = max(many_c, min(spread, math.ceil(n[0] / 1024)))
@@ -104,17 +145,19 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
         qid, cid = queries.column("id").to_numpy(), candidates.column("id").to_numpy()
         out: list[tuple] = []
         if len(qid) and len(cid):
-            q, c = _matrix(queries.column("v")), _matrix(candidates.column("v"))
+            index = Index(*postings(candidates.column("v")), len(cid))
+            row, term, weight = postings(queries.column("v"))
             for a in range(0, len(qid), TILE):
-                scores = accumulate(q[a : a + TILE], c)
-                for i, row in enumerate(scores):
-                    at = select(row, cid, k + 1)
+                own = slice(*np.searchsorted(row, [a, a + TILE]))
+                scores = accumulate(row[own] - a, term[own], weight[own], min(TILE, len(qid) - a), index)
+                for i, found in enumerate(scores):
+                    at = select(found, cid, k + 1)
                     at = at[cid[at] != qid[a + i]]
                     if len(at) < k and len(cid) > k:  # rows that repeat the query's id took places
                         others = np.flatnonzero(cid != qid[a + i])
-                        at = others[select(row[others], cid[others], k)]
+                        at = others[select(found[others], cid[others], k)]
                     at = at[:k]
-                    out.append((np.full(len(at), qid[a + i]), cid[at], row[at].astype(np.int64)))
+                    out.append((np.full(len(at), qid[a + i]), cid[at], found[at].astype(np.int64)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, columns), strict=True)))
 

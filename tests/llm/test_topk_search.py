@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,9 +56,34 @@ def test_few_candidates_and_empty_tables(spark):
     assert search(spark, [(0, [1.0])]) == [] and search(spark, []) == []
 
 
-@pytest.mark.parametrize("scale", [1, 10**7])
+@pytest.mark.parametrize("scale", [1, 10**4, 10**7])
 def test_accumulation_is_the_exact_product(scale):
     rng = np.random.default_rng(2)
     q = rng.integers(-90, 90, (9, 30)) * (rng.random((9, 30)) < 0.3) * scale
     c = rng.integers(-90, 90, (200, 30)) * (rng.random((200, 30)) < np.linspace(0, 1, 30)) * scale
-    assert (topk.accumulate(q, c) == q @ c.T).all()
+    q[:, 7], c[:, 7] = 5, 3
+    lists = lambda m: topk.postings(pa.chunked_array([pa.array(m.tolist(), pa.list_(pa.int64()))]))
+    assert (topk.accumulate(*lists(q), len(q), topk.Index(*lists(c), len(c))) == q.dot(c.T)).all()
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    long = lambda n: [(i, float(x)) for i, x in zip(sorted(rng.choice(1_000_000, n, replace=False).tolist()), rng.normal(0, 1, n), strict=True)]
+    rows = vectors(100, 8, 3)
+    for i, pairs in ((500, long(2000)), (501, long(300_000))):
+        v = np.zeros(1_000_000)
+        v[[p for p, _ in pairs]] = [x for _, x in pairs]
+        rows.append((i, v.tolist()))
+    assert search(spark, rows, 3) == plain(rows, 3)
+
+
+def test_sums_beyond_64_bits_are_an_error(spark):
+    for value in (1e30, 1e8 * 2.0**10):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            search(spark, [(0, [value] * 200), (1, [value] * 200)])
+
+
+def test_other_columns_dont_matter(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0], "x", "y", "z") for i in range(50)], "vec_id long, embedding array<double>, q string, id string, `a.b` string")
+    got = topk.search(rows.withColumn("embedding", topk.whole_components("embedding")), F.col("vec_id") % 20 == 0, 3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 9
