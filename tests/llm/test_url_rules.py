@@ -33,7 +33,7 @@ def pages(spark):
 
 @pytest.fixture(scope="module")
 def no_rules(spark):
-    return spark.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
+    return spark.createDataFrame([], "rule_id long, items array<array<string>>, confidence double, support double")
 
 
 def test_fixed_rules(pages, no_rules):
@@ -63,7 +63,8 @@ def labelled(spark):
 
 def test_mined_rules_are_those_of_brute_force(labelled):
     pages, labels = labelled
-    mined = {tuple(r["items"]): r["confidence"] for r in rules.mine(pages, labels, F.col("quality") == 0, support=0.01, confidence=0.6, least_rows=5).collect()}
+    found = rules.mine(pages, labels, F.col("quality") == 0, support=0.01, confidence=0.6, least_rows=5).collect()
+    mined = {tuple(sorted(x)): r["confidence"] for r in found for x in itertools.product(*r["items"])}
     label = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
     rows = [(set(r["t"]), label[r["page_id"]] == 0) for r in pages.select("page_id", rules.tokens("url").alias("t")).collect() if r["page_id"] in label]
     counts = {}
@@ -82,12 +83,23 @@ def test_mined_rules_are_those_of_brute_force(labelled):
 def test_mined_rules_fit_by_containment(labelled):
     pages, labels = labelled
     mined = rules.mine(pages, labels, F.col("quality") == 0, support=0.01, confidence=0.6, least_rows=5)
-    sets = [set(r["items"]) for r in mined.collect()]
+    sets = [set(x) for r in mined.collect() for x in itertools.product(*r["items"])]
     own = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", rules.tokens("url").alias("t")).collect()}
     for r in rules.judge(pages, mined, []).collect():
         assert (r["verdict"] == "block") == any(s <= own[r["page_id"]] for s in sets)
 
 
+def test_many_equal_deep_urls_make_one_rule(spark):
+    deep = "http://a.b.example.org/" + "/".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    pages = spark.createDataFrame([(i, deep if i < 40 else f"http://good.example.com/{chr(97 + i % 26)}") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 40 else 1) for i in range(400)], "doc_id long, quality int")
+    mined = rules.mine(pages, labels, F.col("quality") == 0)
+    rows = mined.collect()
+    assert len(rows) == 1 and len(rows[0]["items"]) == 1 and len(rows[0]["items"][0]) > 40 and rows[0]["support"] == pytest.approx(0.1)
+    got = rules.judge(pages, mined, [])
+    assert {r["page_id"] for r in got.filter("verdict = 'block'").collect()} == set(range(40))
+
+
 def test_the_plan_has_no_python(labelled):
     pages, labels = labelled
     plan = rules.judge(pages, rules.mine(pages, labels, F.col("quality") == 0, least_rows=5), URL_RULES)._jdf.queryExecution().toString()
