@@ -4,17 +4,20 @@ A turn is written as ``<|im_start|>role``, a line feed, its text, ``<|im_end|>``
 that is followed by any number of backslashes and a ``|`` gets one backslash more, so no text can write a mark, and removing
 one restores it; in roles backslashes and line feeds are escaped as well.
 
-A conversation is cut into windows of at most ``budget`` tokens along turns. A first turn of the role ``system`` opens each of
-its windows; then come turns of the window before, up to ``history`` tokens, and then new turns while they fit: prefix sums
-of the turns' tokens are searched for the last one. A turn that alone is too long has a window of its own and exceeds the
-budget. The loss mask covers the texts of new assistant turns; repeated ones are masked, so each is trained once.
+A conversation is cut into windows of at most ``budget`` tokens along turns, counted in the escaped turns as they are written,
+each mark one token. A first turn of the role ``system`` opens each of its windows; then come turns of the window before, up to
+``history`` tokens, and then new turns while they fit: prefix sums of the turns' tokens are searched for the last one. A turn
+that alone is too long has a window of its own and exceeds the budget. The loss mask covers the texts of new assistant turns;
+repeated ones are masked, so each is trained once.
 
-Conversations are split into chunks of ``CHUNK`` turns by the turns' numbers, each chunk with the last turns before it as
-history, so no task holds a whole conversation. A window never crosses the end of a chunk.
+All turns are sorted by ranges, and a turn's place and the tokens before it are sums within its range and over the ranges before
+it. Conversations are split into chunks where these tokens pass a multiple of ``CHUNK``, and the turns of the last ``history``
+tokens go to the next chunk too, so a task holds some ``CHUNK`` tokens and a turn, however long a conversation is and
+whatever its turns' numbers are. A window never crosses the end of a chunk.
 
 Cases: null roles and texts are empty; turns are ordered by number (null last), then role, then text, so ties and repeated
 rows have a fixed place and each is written; rows with a null conversation id are one conversation; empty conversations
-don't exist; very long texts are written whole; an empty table gives no rows; other columns don't matter.
+don't exist; very long texts are written whole; an empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -27,16 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, parts
+from quern.llm.common import cut, map_arrow, parts
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Tokens of a window, of repeated history in it, and of a turn's marks.
-BUDGET, HISTORY, MARKS = 2048, 256, 4
-#: Turn numbers of a chunk, and of those before it that may serve as its history.
-CHUNK, BEFORE = 256, 8
+#: Tokens of a window and of repeated history in it, and those of a chunk.
+BUDGET, HISTORY, CHUNK = 2048, 256, 65_536
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _LAST = 2**63 - 1
 
@@ -95,57 +98,88 @@ def read(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def placed(conversations: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(conv_id, place, before, tokens, role, text) of each turn, materialised: its number in its conversation, the tokens before it, and its own."""
+    spark, kind = conversations.sparkSession, dict(conversations.dtypes)["conv_id"]
+    with open(vocabulary, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary file
+    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(_LAST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, ranks.value.splitlines()))}
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=pieces, special_tokens={})
+        marks = 2 + len(encoding.encode_ordinary("\n"))
+        for batch in parts(batches):
+            turns = zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            n = [marks + len(encoding.encode_ordinary(f"{escape_role(role)}\n{escape(text)}")) for role, text in turns]
+            yield batch.append_column("tokens", pa.array(n, pa.int64()))
+
+    counted = map_arrow(rows, count, f"conv_id {kind}, turn long, role string, text string, tokens long").withColumn("tie", F.monotonically_increasing_id())
+    order = ["conv_id", "turn", "role", "text", "tie"]
+    dealt = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, place, before = TaskContext.get().partitionId(), (), 0, 0
+        for batch in parts(batches):
+            found = []
+            for of, n in zip(batch.column("conv_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if now != (of,):
+                    now, place, before = (of,), 0, 0
+                found.append((part, place, before))
+                place, before = place + 1, before + n
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "role", "text", "tokens")), *(pa.array(c, pa.int64()) for c in columns)], names=["conv_id", "role", "text", "tokens", "part", "place", "before"])
+
+    dealt = cut(map_arrow(dealt.drop("turn", "tie"), sums, f"conv_id {kind}, role string, text string, tokens long, part long, place long, before long"))
+    # of conversations that go on in another range: what the ranges before hold of them; a range goes on with one at most
+    own = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    rest = own.select(F.col("conv_id").alias("of"), F.col("part").alias("in"), F.sum("n").over(earlier).alias("n"), F.sum("t").over(earlier).alias("t")).filter("n is not null")
+    whole = dealt.join(F.broadcast(rest), F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")), "left")
+    return whole.select("conv_id", (F.col("place") + F.coalesce("n", F.lit(0))).alias("place"), (F.col("before") + F.coalesce("t", F.lit(0))).alias("before"), "tokens", "role", "text")
+
+
 _WINDOW = "conv_id {kind}, chunk long, window int, formatted string, loss array<struct<start:long,end:long>>, n_repeated int, n_new int, n_tokens long"
 
 
-def windows(conversations: DataFrame, vocabulary: str, pattern: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, vocabulary: str, pattern: str, budget: int = BUDGET, history: int = HISTORY, chunk: int = CHUNK) -> DataFrame:
     """One row per window: its text, the loss spans, and how many of its turns are repeated and new.
 
-    vocabulary: the path of a rank file, by which tokens are counted.
+    vocabulary: the path of a rank file, by which tokens are counted. chunk: above history.
     """
     kind = dict(conversations.dtypes)["conv_id"]
-    with open(vocabulary, "rb") as f:
-        ranks = conversations.sparkSession.sparkContext.broadcast(f.read())
-    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(_LAST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("s")).filter("s.role = 'system'").select(F.col("conv_id").alias("of"), "s")
-    own = F.floor(F.col("turn") / CHUNK)
-    both = F.when((F.pmod("turn", F.lit(CHUNK)) >= CHUNK - BEFORE) & (F.col("turn") < _LAST), F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = rows.withColumn("own", own).withColumn("chunk", F.explode(both))
-    turns = F.collect_list(F.struct((F.col("own") == F.col("chunk")).alias("new"), "turn", "role", "text"))
+    rows = placed(conversations, vocabulary, pattern)
+    first = rows.filter("place = 0 and role = 'system'").select(F.col("conv_id").alias("of"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
+    own = F.floor(F.col("before") / chunk)
+    # the next chunk starts at a multiple of chunk or behind it
+    both = F.when(F.col("before") >= (own + 1) * chunk - history, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = rows.filter("place > 0 or role != 'system'").withColumn("own", own).withColumn("chunk", F.explode(both))
+    alone = rows.filter("place = 0 and role = 'system'").select("conv_id", F.lit(0).cast("long").alias("chunk"))
+    turns = F.collect_list(F.struct("place", "role", "text", "tokens", (F.col("own") == F.col("chunk")).alias("new")))
     grouped = dealt.groupBy("conv_id", "chunk").agg(turns.alias("turns")).filter(F.exists("turns", lambda t: t["new"]))
+    # a system turn opens its conversation's first chunk, also where no other turn is in it
+    grouped = grouped.unionByName(alone.withColumn("turns", F.lit(None).cast(grouped.schema["turns"].dataType))).groupBy("conv_id", "chunk").agg(F.first("turns", ignorenulls=True).alias("turns"))
     grouped = grouped.join(first, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
     names = [x.split()[0] for x in _WINDOW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, ranks.value.splitlines()))}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=pieces, special_tokens={})
-        count = lambda role, text: len(encoding.encode_ordinary(role)) + len(encoding.encode_ordinary(text)) + MARKS
         for batch in parts(batches):
             out = []
             for row in batch.to_pylist():
-                turns = sorted((t["turn"], t["role"], t["text"], t["new"]) for t in row["turns"])
-                system, s = row["s"], None
-                if system:
-                    s = (system["turn"], system["role"], system["text"])
-                    places = [i for i, t in enumerate(turns) if t[:3] == s]
-                    opens = bool(places) and turns[places[0]][3]  # the system turn itself is in this chunk
-                    turns = [t for i, t in enumerate(turns) if not places or i != places[0]]
-                    turns = ([(*s, True)] if opens else []) + turns
-                prior = sum(not t[3] for t in turns)
-                tokens = [count(t[1], t[2]) for t in turns]
-                own = count(s[1], s[2]) if s else 0
-                opening = 1 if s and turns and turns[0][:3] == s and turns[0][3] else 0
-                for w, (back, start, end) in enumerate(cut_windows(tokens[opening:], prior, own, budget, history) or [(0, 0, 0)]):
-                    body = [(*t[1:3], i < start - back) for i, t in enumerate(turns[opening + back : opening + end])]
-                    head = [(s[1], s[2], not (opening and w == 0))] if s else []
-                    text, spans = write(head + body)
-                    repeated = start - back + (bool(s) and not (opening and w == 0))
-                    out.append((row["conv_id"], row["chunk"], w, text, spans, repeated, len(head) + len(body) - repeated, own + sum(tokens[opening + back : opening + end])))
+                turns = sorted(((t["place"], t["role"], t["text"], t["tokens"], t["new"]) for t in row["turns"] or []), key=lambda t: t[0])
+                prior, tokens = sum(not t[4] for t in turns), [t[3] for t in turns]
+                head, opens = row["system"] is not None, row["system"] is not None and row["chunk"] == 0
+                for w, (back, start, end) in enumerate(cut_windows(tokens, prior, row["system_tokens"] or 0, budget, history) or [(0, 0, 0)]):
+                    new_head = opens and w == 0
+                    body = [(t[1], t[2], i < start - back) for i, t in enumerate(turns[back:end])]
+                    text, spans = write(([("system", row["system"], not new_head)] if head else []) + body)
+                    repeated = start - back + (head and not new_head)
+                    out.append((row["conv_id"], row["chunk"], w, text, spans, repeated, head + len(body) - repeated, (row["system_tokens"] or 0) + sum(tokens[back:end])))
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             types = [batch.schema.field("conv_id").type, pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return map_arrow(grouped.select("conv_id", "chunk", "turns", "s"), run, _WINDOW.format(kind=kind))
+    return map_arrow(grouped.select("conv_id", "chunk", "turns", "system", "system_tokens"), run, _WINDOW.format(kind=kind))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

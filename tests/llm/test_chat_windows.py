@@ -1,15 +1,20 @@
 """Windows of conversations: exact round trips, budgets, and what is trained."""
 
+import base64
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import chat_windows as chat
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+with open(PATH, "rb") as f:
+    ENCODING = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f))}, special_tokens={})
 ODD = st.text(st.sampled_from("<|\\>a\n im_end"), max_size=30)
 SCHEMA = "conv_id long, turn long, role string, text string, chunk string"
 
@@ -48,7 +53,7 @@ def conversations():
 @pytest.fixture(scope="module")
 def made(spark):
     df = spark.createDataFrame(conversations(), SCHEMA)
-    return chat.windows(df, PATH, PATTERN, budget=400, history=60).cache()
+    return chat.windows(df, PATH, PATTERN, budget=400, history=60, chunk=1500).cache()
 
 
 def ordered():
@@ -69,21 +74,54 @@ def test_digests_are_those_of_the_turns(made):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def written_tokens(text):
+    """Tokens of a window's text, each mark one."""
+    pieces = re.split(r"<\|im_start\|>|<\|im_end\|>", text)
+    return len(pieces) - 1 + sum(len(ENCODING.encode_ordinary(x)) for x in pieces)
+
+
 def test_windows_keep_the_system_turn_and_the_budget(made):
     rows = made.collect()
     for r in rows:
         turns = chat.read(r["formatted"])
         assert len(turns) == r["n_repeated"] + r["n_new"]
+        assert r["n_tokens"] == written_tokens(r["formatted"])
         assert r["n_tokens"] <= 400 or r["n_new"] == 1 and r["n_repeated"] <= 1
         if r["conv_id"] in (0, 3, 6, 9):
             assert turns[0] == ("system", "be kind")
     assert sum(r["conv_id"] == 50 for r in rows) > 5 and any(r["n_repeated"] > 0 for r in rows)
 
 
+def test_marks_in_texts_count(spark):
+    rows = [(1, k, "user", "<| " * 200, "x") for k in range(30)]
+    found = chat.windows(spark.createDataFrame(rows, SCHEMA), PATH, PATTERN).collect()
+    assert len(found) > 1 and all(written_tokens(r["formatted"]) == r["n_tokens"] <= chat.BUDGET for r in found)
+
+
 def test_history_goes_on_across_chunks(made):
-    first = [r for r in made.collect() if r["conv_id"] == 50 and r["chunk"] == 1 and r["window"] == 0][0]
-    turns = chat.read(first["formatted"])
-    assert first["n_repeated"] > 0 and turns[first["n_repeated"]] == ("user", f"long {chat.CHUNK}") and turns[first["n_repeated"] - 1][1] == f"long {chat.CHUNK - 1}"
+    own = sorted((r["chunk"], r["window"], r) for r in made.collect() if r["conv_id"] == 50)
+    chunks = [r for c, w, r in own if c > 0 and w == 0]
+    assert len(chunks) > 1
+    seen = 0
+    for _, _, r in own:
+        turns = chat.read(r["formatted"])[r["n_repeated"] :]
+        if r in chunks:
+            before = chat.read(r["formatted"])[: r["n_repeated"]]
+            assert len(before) > 3 and [t for _, t in before] == [f"long {k}" for k in range(seen - len(before), seen)]
+        assert [t for _, t in turns] == [f"long {k}" for k in range(seen, seen + len(turns))]
+        seen += len(turns)
+    assert seen == 700
+
+
+def test_a_conversation_without_turn_numbers_is_dealt_to_many_tasks(spark):
+    rows = [(1, None, "user" if k % 2 else "assistant", "same words here", "x") for k in range(6000)] + [(2, 5, "assistant", f"{k:05d}", "x") for k in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    sizes = chat.placed(df, PATH, PATTERN).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert max(sizes) < 4500 and sum(sizes) == 9000
+    got = {r["conv_id"]: r for r in chat.digests(chat.windows(df, PATH, PATTERN, chunk=5000)).collect()}
+    for c in (1, 2):
+        turns = sorted((r, t) for i, _, r, t, _ in rows if i == c)
+        assert got[c]["n_turns"] == len(turns) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
 
 
 def test_empty_tables(spark):
