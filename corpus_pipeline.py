@@ -2,19 +2,23 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the rows that it keeps, with the columns
 of documents, and the last one the encoded documents. run() writes each stage as Parquet in the shared folder of
-spark.checkpoint.dir and reads it again as the next one's input, so a lost executor costs part of a stage at most.
+spark.checkpoint.dir and reads it again as the next one's input, so a lost executor costs part of a stage at most. A stage's input
+is removed when its output is written; the last output goes with the session.
+
+Cases: documents without a word, null texts among them, fail the base rules of the first stage; null ids, languages and sources
+are allowed; of rows that are equal in every column one stays in the third stage; very long texts are read whole in every stage;
+an empty table gives no rows; columns besides those of documents pass through the first four stages as they are, whatever their
+names, and the last one leaves them out.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import adaptive_rules, cube_mixing, dart_minhash, kn_toxicity, spm_bpe
-from quern.llm.common import shared_dir, table
+from quern.llm.common import remove, scratch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,9 +59,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = scratch(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
