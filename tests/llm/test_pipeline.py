@@ -4,6 +4,7 @@ import os
 
 import pytest
 from conftest import SMALL
+from llm.conftest import ODD
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
 
@@ -34,6 +35,23 @@ def test_stages_one_by_one(spark):
     assert all(r["n_bytes"] == len(before[r["doc_id"]]["text"].encode()) and len(r["ids"]) == 4 * r["n_tokens"] for r in coded)
 
 
+def test_odd_rows_and_names_pass_all_stages(spark, docs_of):
+    import corpus_pipeline
+
+    long = [" ".join(f"w{(i * 37 + j * 101) % 997}" for j in range(60 + i)) for i in range(80)]
+    rows = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None) for i, t in enumerate(long)] + ODD + [(None, long[0] + " more", None, None), (500, long[3], "de", "t")]
+    docs = docs_of(rows, clash=["__copies", "__key", "__h", "score", "kept", "cls", "fold", "h"]).selectExpr("*", "1 AS `a.b`", "2 AS __0")
+    columns, texts = docs.columns, {r[1] for r in rows}
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SMALL).cache()
+            assert now.columns == columns, name
+            found = now.collect()
+            assert {r["text"] for r in found} <= texts and bool(found) != empty, name
+        assert corpus_pipeline.STAGES[-1][1](spark, now, SMALL).count() == len(found)
+
+
 def test_run_agrees_with_itself(spark):
     import corpus_pipeline
 
