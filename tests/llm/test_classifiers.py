@@ -134,10 +134,57 @@ def test_odd_rows_and_missing_labels(spark, docs_of, tables, make):
     assert make(docs_of([]), some).count() == 0
 
 
-def test_updates_follow_the_leader():
-    a, b = (np.array([1, 5]), np.array([0.6, 0.8])), (np.array([2]), np.array([1.0]))
-    w, intercept = quality.train([(*a, 1), (*b, 0)] * 50)
-    assert w[1] > 0 and w[5] > w[1] and w[2] < 0 and np.count_nonzero(w) == 3 and np.isfinite(intercept)
+def plain_weights(examples):
+    """FTRL-proximal over dictionaries."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.SMOOTH + math.sqrt(n[i])) / quality.RATE + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for x, label in examples:
+            x = {**x, "intercept": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.RATE * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_updates_follow_the_leader(spark, tables):
+    docs, labels, _ = tables
+    rows = quality.sample(docs, labels, max_rows=200).orderBy("hash").collect()
+    assert len(rows) == 200
+    examples = [(dict(zip(np.frombuffer(bytes(r["at"]), "<u4").tolist(), np.frombuffer(bytes(r["v"])).tolist(), strict=True)), r["cls"]) for r in rows]
+    want = plain_weights(examples)
+    w, intercept = quality.fit(docs, labels, max_rows=200)
+    assert intercept == pytest.approx(want.pop("intercept")) and set(np.flatnonzero(w)) <= set(want)
+    assert all(w[i] == pytest.approx(x, rel=1e-5, abs=1e-7) for i, x in want.items())
+
+
+def test_scores_are_sparse_dot_products(spark, tables):
+    docs, labels, _ = tables
+    w, b = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    for r in docs.limit(50).collect():
+        raw = b + sum(float(w[i]) * v for i, v in zip(*quality.features(r["text"]), strict=True))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
+def test_a_labelled_id_that_repeats_trains_once(spark, docs_of):
+    docs, labels = corpus(60)
+    other = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    many = spark.range(100_000).selectExpr("CAST(5 AS BIGINT) AS doc_id", f"'{docs[5][1]}' AS text", "'en' AS lang", "'s' AS source", "CAST(1 AS BIGINT) AS n_chars")
+    once, often = quality.sample(docs_of(docs), other), quality.sample(docs_of(docs).unionByName(many), other)
+    key = lambda df: sorted((r["hash"], r["cls"]) for r in df.collect())
+    assert key(once) == key(often)
+    own = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    different = spark.range(5000).selectExpr(f"CAST({own} AS BIGINT) AS doc_id", "CONCAT('text ', id) AS text")
+    assert quality.sample(different, other.filter(f"doc_id = {own}"), max_rows=10).count() == 10
 
 
 def test_large_partitions_are_counted_in_pieces(tables, monkeypatch):
