@@ -6,6 +6,7 @@ Symbolic simplification needs a computer-algebra library and isn't part of this.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,18 +94,17 @@ def without_thousands(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=[0-9]),(?=[0-9]{3}(?:[^0-9]|$))", "")
 
 
+#: Words for powers of ten, and the rewrites of an answer before and behind the words and units.
+POWERS = {"million": 6, "billion": 9, "trillion": 12}
+BEFORE = [(r"^\\text\{(.+?)\}$", "$1"), (r"\\?[$%]", ""), (r" (?:or|and)(?= )", " ,")]
+BEHIND = [(r"\^ *\\circ", ""), (r"^\{(.*)\}$", "$1"), (r",\\! *", ""), (r"- *", "-"), (r"([0-9]) +([0-9])", "$1+$2")]
+
+
 def plain_answer(c: Column) -> Column:
     """Lower case, without text boxes, percents, dollars, units and braces; millions as powers; mixed numbers as sums."""
-    c = F.regexp_replace(c, r"^\\text\{(.+?)\}$", "$1")
-    c = _drop(F.replace(F.replace(c, F.lit("\\%"), F.lit("%")), F.lit("\\$"), F.lit("$")), "$", "%")
-    c = F.replace(F.replace(c, F.lit(" or "), F.lit(" , ")), F.lit(" and "), F.lit(" , "))
-    for word, power in (("million", 6), ("billion", 9), ("trillion", 12)):
-        c = F.replace(c, F.lit(word), F.lit(f"*10^{power}"))
-    for unit in UNITS:
-        c = F.regexp_replace(c, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\^ *\\circ", ""), r"^\{(.*)\}$", "$1")
-    c = F.regexp_replace(F.regexp_replace(c, r",\\! *", ""), r"- *", "-")
-    c = F.lower(F.regexp_replace(c, r"([0-9]) +([0-9])", "$1+$2"))
+    words = [(word, f"*10^{power}") for word, power in POWERS.items()]
+    units = [(unit + r"(?:es)?s? *(?:\^[0-9]+)?", "") for unit in UNITS]
+    c = F.lower(reduce(lambda x, rewrite: F.regexp_replace(x, *rewrite), [*BEFORE, *words, *units, *BEHIND], c))
 
     def as_whole(x: Column) -> Column:
         n = number(without_thousands(F.trim(x)))
@@ -147,16 +147,21 @@ def grade(given: Column, gold: Column) -> Column:
     return F.coalesce(given.isNotNull() & (equivalent(strip(given), strip(gold)) | _let(pair, alike) | number_ok), F.lit(False))
 
 
+#: What stands before an answer and what stands behind it, any of which marks one, and what leads up to it in a sentence.
+MARKS_BEFORE = ("answer:", "answer is", "answers are")
+MARKS_BEHIND = ("is answer", "is the answer", "are answers", "are the answers")
+LEADS = ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n")
+
+
+def _from_last(marks: tuple[str, ...], keep: int) -> Callable[[Column], Column]:
+    """Cuts a text at the last place of each mark in turn: keep 1 is what is before it, 2 what is behind it."""
+    return lambda c: reduce(lambda x, m: strip(F.regexp_replace(x, f"(?is)^(.*){m}(.*)$", f"${keep}")), marks, c)
+
+
 def stated_answer(response: Column) -> Column:
     """struct(found, answer): what a response states behind its last marker, box or equals sign; found if it has a digit."""
-    c, low = response, F.lower(response)
-    marked = low.rlike("answer:|answer is|answers are|is answer|is the answer|are answers|are the answers") | response.rlike(r"\\(boxed|fbox)\s*\{")
-    for m in ("answer:", "answer is", "answers are"):
-        c = strip(F.regexp_replace(c, f"(?is)^.*{m}", ""))
-    for m in ("is answer", "is the answer", "are answers", "are the answers"):
-        c = strip(F.regexp_replace(c, f"(?is)^(.*){m}.*$", "$1"))
-    c = _let(c, lambda x: F.coalesce(F.nullif(strip(unboxed(last_boxed(x))), F.lit("")), x))
-    c = strip(F.regexp_replace(c, r"(?s)^(.*)\. .*$", "$1"))
-    for m in ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"):
-        c = strip(F.regexp_replace(c, f"(?is)^.*{m}", ""))
-    return _let(c, lambda x: F.struct((marked & x.rlike("[0-9]")).alias("found"), x.alias("answer")))
+    marked = response.rlike("(?i)" + "|".join(MARKS_BEFORE + MARKS_BEHIND)) | response.rlike(r"\\(boxed|fbox)\s*\{")
+    told = _from_last(MARKS_BEHIND, 1)(_from_last(MARKS_BEFORE, 2)(response))
+    inside = _let(told, lambda x: F.coalesce(F.nullif(strip(unboxed(last_boxed(x))), F.lit("")), x))
+    answer = _from_last(LEADS, 2)(_from_last((r"\. ",), 1)(inside))
+    return _let(answer, lambda x: F.struct((marked & x.rlike("[0-9]")).alias("found"), x.alias("answer")))
