@@ -88,8 +88,8 @@ def load_scorer(path: str, name: str, **options) -> Scorer:
 # --- test cases ---------------------------------------------------------------------------------------------------
 
 
-def run_cases(source: str, inputs: list[str], outputs: list[str], function: str | None, most: int = 10, seconds: int = 10) -> list[int]:
-    """1 or 0 of each of the first ``most`` cases, -1 where it failed to run, -2 if the code doesn't load. With a function its arguments
+def run_cases(source: str, inputs: list[str], outputs: list[str], function: str | None, most: int | None = None, seconds: int = 10) -> list[int]:
+    """1 or 0 of each case (of the first ``most``, if given), -1 where it failed to run, -2 if the code doesn't load. With a function its arguments
     are the lines of an input, and results are compared as literals; without one the program reads the input and prints."""
     cases = list(zip(inputs[:most], outputs[:most], strict=False))
     if code._tree(source) is None:
@@ -116,7 +116,7 @@ def _same_lines(said: object, want: str) -> bool:
     return len(x) == len(y) and all(abs(p - q) <= 1e-8 + 1e-5 * abs(q) for p, q in zip(x, y, strict=True))
 
 
-def case_results(source: Column, inputs: Column, outputs: Column, function: Column, most: int = 10, seconds: int = 10) -> Column:
+def case_results(source: Column, inputs: Column, outputs: Column, function: Column, most: int | None = None, seconds: int = 10) -> Column:
     """The results of the cases (array<int>)."""
 
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:

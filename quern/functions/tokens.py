@@ -93,7 +93,9 @@ def rollout_row(prompt: Column | str, response: Column | str, stops: list[int],
     p, r = truncate(prompt, max_prompt, "left"), truncate(response, max_response)
     alive = pad(until_stop(r, stops), max_response, 0)
     mask = F.concat(ones(F.size(p), max_prompt, left=True), alive)
-    upto = F.transform(F.sequence(F.lit(1), F.lit(max_prompt + max_response)), lambda i: F.greatest(F.aggregate(F.slice(mask, 1, i), F.lit(0), lambda a, x: a + x) - 1, F.lit(0)))
+    # the mask is zeros, then ones, then zeros, so a place's running sum is its distance from the ones' first, up to their number
+    ones_, before = F.aggregate(mask, F.lit(0), lambda a, x: a + x), F.lit(max_prompt) - F.size(p)
+    upto = F.transform(F.sequence(F.lit(0), F.lit(max_prompt + max_response - 1)), lambda i: F.greatest(F.least(i - before, ones_ - 1), F.lit(0)))
     return F.struct(F.concat(pad(p, max_prompt, pad_id, True), pad(r, max_response, pad_id)).alias("input_ids"), mask.alias("attention_mask"), upto.alias("position_ids"), alive.alias("response_mask"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,8 +58,9 @@ def least_loaded(costs: list[float], k: int) -> list[int]:
     return out
 
 
-def balanced(df: DataFrame, cost: str, k: int, key: str, keys: list[str] | None = None, equal: bool = False, greedy: bool = False) -> DataFrame:
-    """df with ``part``: rows of each batch (given by keys; all of df without) in k parts of nearly the same cost.
+def balanced(df: DataFrame, cost: str, k: int | Callable[[int, list[float]], int], key: str, keys: list[str] | None = None, equal: bool = False, greedy: bool = False) -> DataFrame:
+    """df with ``part``: rows of each batch (given by keys; all of df without) in k parts of nearly the same cost, where k may be a function
+    of a batch's number of rows and its costs.
 
     A batch is what one optimiser step reads, so its keys and costs fit a task; batches are partitioned in parallel.
     """
@@ -67,7 +69,8 @@ def balanced(df: DataFrame, cost: str, k: int, key: str, keys: list[str] | None
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, ignore_index=True)
         costs = rows[cost].astype(float).tolist()
-        return rows[[*keys, key]].assign(part=least_loaded(costs, k) if greedy else differencing(costs, k, equal))
+        parts = k(len(costs), costs) if callable(k) else k
+        return rows[[*keys, key]].assign(part=least_loaded(costs, parts) if greedy else differencing(costs, parts, equal))
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, key]) + ", part long"
@@ -81,11 +84,12 @@ def micro_batch_count(rows: int, tokens: int, most_tokens: int, least: int = 1,
     return math.ceil(n / divisor) * divisor
 
 
-def micro_batches(df: DataFrame, length: str, key: str, most_tokens: int, least: int = 1, divisor: int = 1) -> DataFrame:
-    """df with ``part`` (micro-batch) balanced by workload. The budget sets their number; single ones may exceed it."""
-    n, tokens = df.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
-    k = min(n, micro_batch_count(n, tokens, most_tokens, least, divisor))
-    return balanced(df.withColumn("__cost", workload(F.col(length).cast("double"))), "__cost", k, key).drop("__cost")
+def micro_batches(df: DataFrame, length: str, key: str, most_tokens: int, least: int = 1, divisor: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """df with ``part`` (micro-batch), each batch balanced by workload. The budget sets their number; single ones may exceed it."""
+    # workload(n) = 24576 n + n^2 grows with n, so a cost tells the length
+    tokens = lambda cost: round((math.sqrt(24576.0**2 + 4 * cost) - 24576) / 2)
+    count = lambda n, costs: min(n, micro_batch_count(n, sum(map(tokens, costs)), most_tokens, least, divisor))
+    return balanced(df.withColumn("__cost", workload(F.col(length).cast("double"))), "__cost", count, key, keys).drop("__cost")
 
 
 def check(df: DataFrame, k: int) -> DataFrame:

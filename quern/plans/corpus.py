@@ -12,12 +12,13 @@ from quern.plans.views import table
 _RESPONSE = """SELECT doc_id, ['code_in', 'code_out', 'code_func'][doc_id % 3 + 1] AS task_type, CASE doc_id % 6 WHEN 0 THEN '<think>' || h || '</think> <answer>' || t || '</answer>'
  WHEN 1 THEN '<think>' || h || '</think>' || chr(10) || chr(10) || ' ' || chr(10) || '```output' || chr(10) || t || chr(10) || '```' WHEN 2 THEN h || '</think><answer>```python' || chr(10) || t || '```</answer>'
  WHEN 3 THEN '```input' || chr(10) || t || chr(10) || '```' WHEN 4 THEN 'so <output> ' || t || ' </output> and <output>' || h || '</output>' ELSE t END AS r, h, t FROM
- (SELECT doc_id, substr(text, 1, 40) AS h, replace(substr(text, 41, 60), chr(10), ' ') AS t FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND length(text) > 120)"""
+ (SELECT doc_id, substr(text, 1, 40) AS h, replace(substr(text, 41), chr(10), ' ') AS t FROM documents)"""
 
 
 def responses(spark, d):
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$") & (F.length("text") > 120))
-    rows = docs.select("doc_id", F.substring("text", 1, 40).alias("h"), F.regexp_replace(F.substring("text", 41, 60), "\n", " ").alias("t"))
+    """Every whole text: its first 40 characters as h and the others, on one line, as t."""
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.substring("text", 1, 40).alias("h"), F.translate(F.substring("text", 41, 2**31 - 1), "\n", " ").alias("t"))
     h, t = F.col("h"), F.col("t")
     kinds = [
         F.concat(F.lit("<think>"), h, F.lit("</think> <answer>"), t, F.lit("</answer>")), F.concat(F.lit("<think>"), h, F.lit("</think>\n\n \n```output\n"), t, F.lit("\n```")),
@@ -130,12 +131,15 @@ def dapo_math(spark, d):
     return responses(spark, d).select("doc_id", r["pred"].alias("pred"), r["score"].alias("score"))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+# an article's end may be the next one's beginning, so they go in two rounds
+_WORD = "'(^|[^\\p{{L}}\\p{{N}}_])(?:a|an|the)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\2', 'g'"
+_NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({{}}), '[!-/:-@\\[-`{{{{-~]', '', 'g'), {_WORD}), {_WORD}), '\\s+', ' ', 'g'))"
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@query(f"SELECT doc_id, CASE WHEN {_NORM.format('t')} = {_NORM.format('g')} THEN 1.0 ELSE 0.0 END AS em, CASE WHEN contains({_NORM.format('t')}, {_NORM.format('g')}) THEN 1.0 ELSE 0.0 END AS sub_em FROM (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN upper(t) || '!' ELSE split_part(t, ' ', 3) END AS g FROM {{v}})", "em sub_em", **V)
+@query(f"SELECT doc_id, CASE WHEN {_NORM.format('t')} = {_NORM.format('g')} THEN 1.0 ELSE 0.0 END AS em, CASE WHEN contains({_NORM.format('t')}, {_NORM.format('g')}) THEN 1.0 ELSE 0.0 END AS sub_em FROM (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN translate(t, '{_LOWER}', '{_UPPER}') || '!' ELSE split_part(t, ' ', 3) END AS g FROM {{v}})", "em sub_em", **V)
 def qa_em(spark, d):
-    golds = F.array(F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("t"), F.lit("!"))).otherwise(F.element_at(F.split(F.concat(F.col("t"), F.lit("  ")), " "), 3)))
+    golds = F.array(F.when(F.col("doc_id") % 2 == 0, F.concat(F.translate("t", _LOWER, _UPPER), F.lit("!"))).otherwise(F.element_at(F.split(F.concat(F.col("t"), F.lit("  ")), " "), 3)))
     said = F.concat(F.lit("<answer>x</answer><answer>"), F.col("t"), F.lit("</answer>"))
     return responses(spark, d).select("doc_id", text.qa_score(said, golds).alias("em"), text.qa_score(said, golds, inside=True).alias("sub_em"))
 

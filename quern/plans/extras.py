@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import mathgrade, rewards, text, tokens
+from quern.functions import code, mathgrade, rewards, text, tokens
 from quern.operators import metrics, sampling, tasks
 from quern.plans import synthesis, views
 from quern.plans.registry import query
@@ -51,11 +51,11 @@ def evaluation_safe(spark, d):
     return views.tasks(spark, d).select("task_id", mathgrade.safe_to_evaluate(pick("task_id", "x+1", "sqrt(y)", "2*3", "a+b+c", "x^{2}")).alias("safe"))
 
 
-@query(f"SELECT task_id, CASE {_I} WHEN 0 THEN '1,1' WHEN 1 THEN '1,0' WHEN 2 THEN '-1,-1' WHEN 3 THEN '-2,-2' ELSE '1,1' END AS results, CASE {_I} WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 4 THEN 1.0 ELSE 0.0 END AS passed FROM {{k}} WHERE task_id <= 20", "passed", **K)
+@query(f"SELECT task_id, CASE {_I} WHEN 0 THEN '1,1' WHEN 1 THEN '1,0' WHEN 2 THEN '-1,-1' WHEN 3 THEN '-2,-2' ELSE '1,1' END AS results, CASE {_I} WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 4 THEN 1.0 ELSE 0.0 END AS passed FROM {{k}}", "passed", **K)
 def case_scores(spark, d):
     source = pick("task_id", "def f(x):\n    return x * 2", "def f(x):\n    return 4", "def f(x):\n    return y", "def f(:", "print(int(input()) * 2)")
-    rows = views.tasks(spark, d).filter("task_id <= 20").select("task_id", source.alias("s"), F.when(F.col("task_id") % 5 != 4, "f").alias("f"))
-    rows = rows.withColumn("r", rewards.case_results(F.col("s"), F.array(F.lit("2"), F.lit("3")), F.array(F.lit("4"), F.lit("6")), F.col("f")))
+    rows = views.tasks(spark, d).select("task_id", source.alias("s"), F.when(F.col("task_id") % 5 != 4, "f").alias("f"))
+    rows = code.once(rows, ["s", "f"], rewards.case_results(F.col("s"), F.array(F.lit("2"), F.lit("3")), F.array(F.lit("4"), F.lit("6")), F.col("f")), "r")
     return rows.select("task_id", F.array_join("r", ",").alias("results"), rewards.passed_part(F.col("r")).alias("passed"))
 
 

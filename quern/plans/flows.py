@@ -45,11 +45,11 @@ def literal_equality(spark, d):
     return t.select("task_id", code.same_literals_col(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("SELECT task_id, task_id % 4 <> 1 AS ok, CASE task_id % 4 WHEN 0 THEN '3' WHEN 1 THEN 'banned import' WHEN 2 THEN '[1, 1]' ELSE '''a''' END AS result FROM {k} WHERE task_id <= 24", k=TASKS)
+@query("SELECT task_id, task_id % 4 <> 1 AS ok, CASE task_id % 4 WHEN 0 THEN '3' WHEN 1 THEN 'banned import' WHEN 2 THEN '[1, 1]' ELSE '''a''' END AS result FROM {k}", k=TASKS)
 def execution_gate(spark, d):
     sources = F.array(*map(F.lit, ["def f(x):\n    return x + 2", "import os\ndef f(x):\n    return 1", "def f(x):\n    return [x] * 2", "def f(x):\n    return 'a' * x"]))
-    t = views.tasks(spark, d).filter("task_id <= 24").select("task_id", F.element_at(sources, (F.col("task_id") % 4 + 1).cast("int")).alias("c"))
-    return t.withColumn("g", code.gate_col(F.col("c"), F.lit("1"), ["os"])).select("task_id", "g.ok", "g.result")
+    t = views.tasks(spark, d).select("task_id", F.element_at(sources, (F.col("task_id") % 4 + 1).cast("int")).alias("c"))
+    return code.once(t, ["c"], code.gate_col(F.col("c"), F.lit("1"), ["os"]), "g").select("task_id", "g.ok", "g.result")
 
 
 @query("SELECT task_id, skill, task_type, difficulty, array_to_string(detected_skill, '|') AS detected FROM {k} WHERE task_type = 'code_in'", "difficulty", k=TASKS)
@@ -85,11 +85,13 @@ def nested_responses(spark, d):
     return rows.select("uid", F.array_join("responses", ",").alias("responses"))
 
 
-@query("SELECT step, name, value FROM {m} WHERE step < 3", "value", digits=4, m=METRICS)
+@query("SELECT step, name, value FROM {m}", "value", digits=4, m=METRICS)
 def metric_sink(spark, d):
     path = scratch(spark)
-    for step in range(3):
-        writers.metrics(views.metrics(spark, d).filter(F.col("step") == step), path)
+    rows = views.metrics(spark, d).cache()
+    for (step,) in rows.select("step").distinct().orderBy("step").collect():  # one row a training step
+        writers.metrics(rows.filter(F.col("step") == step), path)
+    rows.unpersist()
     return spark.read.schema(schemas.METRIC).json(path)
 
 

@@ -319,11 +319,12 @@ def balanced_partitions(spark, d):
     return steps.join(whole, "step").select("step", "parts", (F.col("near") & (F.col("n") == F.col("all"))).alias("ok"))
 
 
-@query("SELECT 1 AS ok, count(*) AS n FROM events WHERE event_id < 1000", longs="ok n")
+@query("SELECT event_id // 512 AS step, count(*) AS n, least(count(*), CAST(ceil(sum(response_length) / 4096.0) AS BIGINT)) AS parts, true AS near FROM {r} GROUP BY step", longs="step n parts", r=ROLLOUTS)
 def micro_batches(spark, d):
-    rows = views.rollouts(spark, d).filter("event_id < 1000").select("event_id", "response_length")
-    parts = partition.micro_batches(rows, "response_length", "event_id", 4096)
-    return parts.agg((F.countDistinct("part") > 1).cast("int").alias("ok"), F.count("*").alias("n"))
+    rows = views.rollouts(spark, d).select("event_id", "response_length", F.floor(F.col("event_id") / 512).alias("step"))
+    parts = partition.micro_batches(rows, "response_length", "event_id", 4096, keys=["step"])
+    own = parts.groupBy("step", "part").agg(F.sum("response_length").alias("t"), F.count("*").alias("n"))
+    return own.groupBy("step").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), (F.max("t") - F.min("t") <= 0.1 * F.avg("t") + 20).alias("near"))
 
 
 @query("SELECT o_orderkey AS k, CAST(o_custkey % 3 AS INT) AS n, sum(l) AS tokens FROM (SELECT o_orderkey, o_custkey, l_linenumber AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey, o_custkey", longs="n tokens")
