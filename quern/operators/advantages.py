@@ -2,17 +2,23 @@
 
 Response-level estimators take a frame with a group column, a score and, where needed, a length, and add ``advantage``.
 They use windows over the group, so one shuffle on the group serves all of them. Token-level estimators take an exploded
-token frame (seq, pos, mask, reward, ...); a response's tokens are gathered in order in arrays of bounded length and scanned
-by higher-order functions, so no Python runs.
+token frame (seq, pos, mask, reward, ...). Recurrences over a response's tokens (gae, reinforce_plus_plus) gather them in order in
+arrays of bounded length and walk them in Arrow batches in time linear in the tokens; a higher-order function would copy its
+growing result at every token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.operators.batch import positions
 
 _ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -121,43 +127,59 @@ def masked_whiten(df: DataFrame, column: str, out: str, mask: str = "mask", shif
     return rows.withColumn(out, white if shift_mean else white + F.col("__mean")).drop("__mean", "__var")
 
 
-def _scan(df: DataFrame, seq: str, start: Column, step: Callable[[Column, Column], Column], keep: list[str]) -> DataFrame:
-    """Walk each sequence's tokens from the last to the first. step(state, token) gives the state that also is the token's result."""
-    fields = F.sort_array(F.collect_list(F.struct("pos", *keep)), asc=False)
-    arrays = df.groupBy(seq).agg(fields.alias("__t"))
+def _scan(df: DataFrame, seq: str, keep: list[str], out: list[str], walk: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
+    """(seq, pos, keep, out): walk gives the values of out (doubles) for each of a sequence's tokens, from the last to the first."""
+    arrays = df.groupBy(seq).agg(F.sort_array(F.collect_list(F.struct("pos", *keep)), asc=False).alias("__t"))
+    kinds = {f.name: f.dataType for f in df.select(seq, "pos", *keep).schema.fields}
+    schema = T.StructType([*(T.StructField(c, kinds[c]) for c in (seq, "pos", *keep)), *(T.StructField(c, T.DoubleType()) for c in out)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("__t")
+            tokens, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            found = [x for row in lists.to_pylist() for x in walk(row)]
+            columns = [batch.column(seq).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), *(tokens.field(c) for c in ("pos", *keep))]
+            columns += [pa.array(x, pa.float64()) for x in (zip(*found, strict=True) if found else [[]] * len(out))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return arrays.mapInArrow(run, schema)
 
-    def add(done: Column, t: Column) -> Column:
-        state = step(F.coalesce(F.try_element_at(done, F.lit(-1)), start), t)
-        return F.concat(done, F.array(state))
 
-    kind = arrays.select(F.array(step(start, F.element_at("__t", 1))).alias("x")).schema["x"].dataType
-    done = F.aggregate("__t", F.array().cast(kind), add)
-    rows = arrays.select(seq, "__t", done.alias("__s")).select(seq, F.explode(F.arrays_zip("__t", "__s")).alias("z"))
-    return rows.select(seq, "z.__t.*", *(F.col(f"z.__s.{f.name}").alias(f.name) for f in kind.elementType.fields))
+def _or_none(run: Callable[[], float]) -> float | None:
+    """The value, or null if a part of it is null."""
+    try:
+        return run()
+    except TypeError:
+        return None
 
 
 @register("gae")
 def gae(df: DataFrame, gamma: float = 1.0, lam: float = 0.95, seq: str = "seq") -> DataFrame:
     """(seq, pos, mask, reward, value, advantage, ret): generalised advantages before whitening; masked places pass the state on."""
-    start = F.struct(F.lit(0.0).alias("next_value"), F.lit(0.0).alias("advantage"))
 
-    def step(s: Column, t: Column) -> Column:
-        fresh = t["reward"] + gamma * s["next_value"] - t["value"] + gamma * lam * s["advantage"]
-        return F.struct(F.when(t["mask"] == 1, t["value"]).otherwise(s["next_value"]).alias("next_value"), F.when(t["mask"] == 1, fresh).otherwise(s["advantage"]).alias("advantage"))
+    def walk(tokens: list[dict]) -> Iterator[tuple]:
+        following, advantage = 0.0, 0.0
+        for t in tokens:
+            if t["mask"] == 1:
+                advantage = _or_none(lambda: t["reward"] + gamma * following - t["value"] + gamma * lam * advantage)  # noqa: B023
+                following = t["value"]
+            yield (advantage,)
 
-    return _scan(df, seq, start, step, ["mask", "reward", "value"]).drop("next_value").withColumn("ret", F.col("advantage") + F.col("value"))
+    return _scan(df, seq, ["mask", "reward", "value"], ["advantage"], walk).withColumn("ret", F.col("advantage") + F.col("value"))
 
 
 @register("reinforce_plus_plus")
 def reinforce_plus_plus(df: DataFrame, gamma: float = 0.99, seq: str = "seq") -> DataFrame:
     """(seq, pos, mask, reward, ret): discounted returns that start anew behind a masked place; whiten ret for the advantage."""
-    start = F.struct(F.lit(0.0).alias("carry"), F.lit(0.0).alias("ret"))
 
-    def step(s: Column, t: Column) -> Column:
-        ret = t["reward"] + gamma * s["carry"]
-        return F.struct(F.when(t["mask"] == 1, ret).otherwise(F.lit(0.0)).alias("carry"), ret.alias("ret"))
+    def walk(tokens: list[dict]) -> Iterator[tuple]:
+        carry = 0.0
+        for t in tokens:
+            ret = _or_none(lambda: t["reward"] + gamma * carry)  # noqa: B023
+            carry = ret if t["mask"] == 1 else 0.0
+            yield (ret,)
 
-    return _scan(df, seq, start, step, ["mask", "reward"]).drop("carry")
+    return _scan(df, seq, ["mask", "reward"], ["ret"], walk)
 
 
 @register("remax")
@@ -190,10 +212,26 @@ def resampling_weights(df: DataFrame, method: str = "pow", power: float = 2.0) -
 
 
 def resample(df: DataFrame, key: str, n: int, seed: int = 0, method: str = "pow", power: float = 2.0) -> DataFrame:
-    """n rows drawn with replacement by weight. Each draw takes the row with the earliest weighted arrival, so no total order is
-    needed: per draw, the least of -ln(u) / weight, with u from a hash of draw, key and seed; partial aggregates keep one row a draw."""
-    weighted = resampling_weights(df, method, power)
-    u = (F.pmod(F.xxhash64(F.col("draw"), F.col(key), F.lit(seed)), F.lit(2**52 - 1)) + 1) / F.lit(float(2**52))
-    rows = weighted.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    picked = rows.groupBy("draw").agg(F.min_by(key, F.struct(-F.log(u) / F.col("weight"), key)).alias(key))
-    return picked.join(weighted, key)
+    """n rows drawn with replacement by weight. In the order of key each row takes as much of the line from 0 to the sum of weights as it
+    weighs, and a draw the row where its point falls; points are hashes of draw and seed. The line is cut into as many equal pieces as
+    there are rows or draws; a row lies in the pieces it touches, so rows and points meet by an equi-join on the piece."""
+    weighted = positions(resampling_weights(df, method, power), key, pos="__pos")
+    spark = df.sparkSession
+    # a row's piece of the line begins behind the weights of its range of positions and of the ranges before it, and ends where the next begins
+    span = F.floor(F.col("__pos") / 65_536)
+    order = W.orderBy("__span")  # one row a span
+    spans = weighted.groupBy(span.alias("__span")).agg(F.sum("weight").alias("w"))
+    spans = spans.select("__span", F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__base"), "w")
+    total = spans.agg(F.coalesce(F.sum("w"), F.lit(1.0))).first()[0]
+    spans = spans.select("__span", "__base", F.lead("__base").over(order).alias("__next"))
+    own = W.partitionBy("__span").orderBy("__pos")
+    rows = weighted.withColumn("__span", span).join(F.broadcast(spans), "__span")
+    rows = rows.withColumn("__from", F.col("__base") + F.coalesce(F.sum("weight").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    rows = rows.withColumn("__to", F.coalesce(F.lead("__from").over(own), "__next"))
+    pieces = max(1, n)
+    piece = lambda x: F.coalesce(F.least(F.floor(x / total * pieces), F.lit(pieces - 1)), F.lit(pieces - 1))
+    rows = rows.filter(F.col("__to").isNull() | (F.col("__to") >= F.col("__from"))).withColumn("__piece", F.explode(F.sequence(piece(F.col("__from")), piece(F.col("__to")))))
+    part = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id"), F.lit(seed))), 1, 13), 16, 10).cast("double") / 2.0**52
+    draws = spark.range(n).select(F.col("id").cast("int").alias("draw"), (part * total).alias("__point")).withColumn("__piece", piece(F.col("__point")))
+    hit = (F.col("__point") >= F.col("__from")) & F.coalesce(F.col("__point") < F.col("__to"), F.lit(True))
+    return rows.join(draws, "__piece").filter(hit).drop("__piece", "__span", "__pos", "__base", "__next", "__to", "__from", "__point")

@@ -90,10 +90,15 @@ for _m, _w in _WEIGHT.items():
     query(f"SELECT event_id, greatest({_w} + 1e-8, 1e-8) AS weight FROM {{r}}", "weight", digits=4, name=f"pf_weights_{_m}", **R)(lambda s, d, m=_m: advantages.resampling_weights(views.rollouts(s, d), m).select("event_id", "weight"))
 
 
-@query()
+@query(
+    "SELECT CAST(draw AS INT) AS draw, event_id, score FROM (SELECT i AS draw, CAST('0x' || substr(md5(i || ':7'), 1, 13) AS BIGINT) / 4503599627370496.0 * (SELECT sum(greatest(score * score + 1e-8, 1e-8)) FROM {r}) AS x FROM (SELECT unnest(range((SELECT count(*) FROM {r}))) AS i)) d"
+    " ASOF JOIN (SELECT event_id, score, sum(w) OVER (ORDER BY event_id) - w AS lo FROM (SELECT event_id, score, greatest(score * score + 1e-8, 1e-8) AS w FROM {r})) c ON d.x >= c.lo",
+    "score",
+    **R,
+)
 def pf_resample(spark, d):
     rows = views.rollouts(spark, d).select("event_id", "score")
-    return advantages.resample(rows, "event_id", 100, 7).select("draw", "event_id", "score")
+    return advantages.resample(rows, "event_id", rows.count(), 7).select("draw", "event_id", "score")
 
 
 # --- divergences and objectives -----------------------------------------------------------------------------------
