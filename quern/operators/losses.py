@@ -136,7 +136,7 @@ def clip_cov(df: DataFrame, part: float = 0.0002, low: float = 0.2, high: float
     ratio, a = F.exp(_delta()), F.col("adv")
     plain, clipped = -a * ratio, -a * clamp(ratio, 1 - low, 1 + high)
     inside = (F.col("cov") > bounds[0]) & (F.col("cov") < bounds[1]) & (F.col("mask") == 1) & ~(clipped > plain)
-    rows = _first_by(covariance(df), inside, [F.xxhash64("seq", "pos", F.lit(seed))], part)
+    rows = _first_by(covariance(df), inside, [F.md5(F.concat_ws(":", F.col("seq").cast("string"), F.col("pos").cast("string"), F.lit(str(seed))))], part)
     loss = F.when(F.col("picked"), 0.0).otherwise(F.greatest(plain, clipped))
     return aggregate_loss(rows, loss, mode, clip_fraction=_share(F.col("picked")), approx_kl=masked_mean(-_delta()))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def seeded(key: str, seed: int) -> Column:
     """A repeatable pseudo-random order of rows by key and seed, whatever their partitions."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def informative(df: DataFrame, metric: str, group: str = "uid") -> DataFrame:

@@ -201,7 +201,7 @@ def size_report(spark, d):
     return writers.size_report(table(spark, d, "events").select("event_type"))
 
 
-@query()
+@query("SELECT code AS input FROM {k} ORDER BY md5(code || ':42'), code LIMIT 50", **K)
 def validation_sample(spark, d):
     return writers.validation_sample(views.tasks(spark, d).select(F.col("code").alias("input")), 50)
 

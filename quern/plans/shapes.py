@@ -271,7 +271,7 @@ def max_samples(spark, d):
     return sampling.first_rows(views.tasks(spark, d), 100, "task_id").select("task_id")
 
 
-@query()
+@query("SELECT task_id FROM {k} ORDER BY md5(task_id || ':42'), task_id LIMIT 100", **K)
 def max_samples_seeded(spark, d):
     return sampling.sample_rows(views.tasks(spark, d), 100, "task_id", 42).select("task_id")
 

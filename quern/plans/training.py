@@ -156,7 +156,14 @@ def kl_cov(spark, d):
     return losses.kl_cov(views.tokens(spark, d), 0.01)
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT *, new_logp - old_logp AS d FROM {{t}}), m AS (SELECT {mm('adv')} AS ma, {mm('new_logp')} AS ml, greatest(1, CAST(floor(0.01 * sum(mask)) AS BIGINT)) AS k FROM t),
+ c AS (SELECT *, -adv * exp(d) AS p, -adv * greatest(least(exp(d), 1.2), 0.8) AS c, (adv - ma) * (new_logp - ml) AS cov FROM t, m),
+ i AS (SELECT *, mask = 1 AND cov > 0.01 AND cov < 5 AND NOT c > p AS inside FROM c),
+ r AS (SELECT *, inside AND row_number() OVER (PARTITION BY inside ORDER BY md5(seq || ':' || pos || ':0'), seq, pos) <= k AS picked FROM i)
+ SELECT {mm('CASE WHEN picked THEN 0 ELSE greatest(p, c) END')} AS loss, {mm('CASE WHEN picked THEN 1.0 ELSE 0 END')} AS clip_fraction, {mm('-d')} AS approx_kl FROM r""",
+    "loss clip_fraction approx_kl", **T,
+)
 def clip_cov(spark, d):
     return losses.clip_cov(views.tokens(spark, d), 0.01, bounds=(0.01, 5.0))
 
