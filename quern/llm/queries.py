@@ -88,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The other queries need a tokenizer, a trained model or random sampling; they are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": oracle.URL_FILTER,
     "op3_exact_topk": oracle.TOP_K,
     "op5_dart_minhash": oracle.NEAR_DUPLICATES,
     "op8_quality_rules": oracle.quality_rules(),
