@@ -369,3 +369,57 @@ def test_a_streamed_coefficient_goes_on_where_it_ended(spark, tmp_path):
             own(spark.createDataFrame(part, kinds), epoch)
     got = {r["step"]: r["coefficient"] for r in spark.read.parquet(str(tmp_path / "c")).collect()}
     assert got == pytest.approx(whole)
+
+
+def test_resampling_takes_the_row_at_each_point(spark):
+    import hashlib
+
+    rows = [(i, float((i * 7) % 5)) for i in range(300)] + [(1000, 400.0)]
+    df = spark.createDataFrame(rows, "event_id long, score double").repartition(5)
+    got = sorted((r["draw"], r["event_id"]) for r in advantages.resample(df, "event_id", 500, 7).collect())
+    weights = [max(s * s + 1e-8, 1e-8) for _, s in rows]
+    ends, want = np.cumsum(weights), []
+    for k in range(500):
+        point = int(hashlib.md5(f"{k}:7".encode()).hexdigest()[:13], 16) / 2**52 * ends[-1]
+        want.append((k, rows[int(np.searchsorted(ends, point, "right"))][0]))
+    assert got == want
+
+
+def test_recurrences_of_a_long_sequence(spark):
+    n = 30_000
+    df = spark.range(n).selectExpr("'s' AS seq", "CAST(id AS INT) AS pos", "CAST(id % 3 != 1 AS INT) AS mask", "CAST(id % 7 AS DOUBLE) AS reward", "0.5D AS value")
+    got = {r["pos"]: r for r in advantages.gae(df, 0.9, 0.8).collect()}
+    following, advantage = 0.0, 0.0
+    for i in reversed(range(n)):
+        if i % 3 != 1:
+            advantage = i % 7 + 0.9 * following - 0.5 + 0.9 * 0.8 * advantage
+            following = 0.5
+        assert got[i]["advantage"] == advantage
+    assert advantages.reinforce_plus_plus(df).count() == n
+
+
+def test_every_case_of_a_program_runs():
+    from quern.functions import rewards
+
+    numbers = [str(k) for k in range(14)]
+    assert rewards.run_cases("def f(x):\n    return x if x < 11 else -x", numbers, numbers, "f") == [1] * 11 + [0] * 3
+    assert rewards.run_cases("def f(x):\n    return x", numbers, numbers, "f", most=10) == [1] * 10
+
+
+def test_different_snippets_run_once_and_answer_every_row(spark):
+    from quern.functions import code
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 2 else f"s{i % 3}") for i in range(30)], "i long, s string")
+    got = code.once(rows, ["s"], F.concat(F.coalesce("s", F.lit("none")), F.lit("!")), "out").collect()
+    assert sorted((r["i"], r["out"]) for r in got) == [(i, "none!" if i % 3 == 2 else f"s{i % 3}!") for i in range(30)]
+
+
+def test_snippets_are_rewritten():
+    from quern.functions import code
+
+    source = 'import os\nclass Äb:\n    """Doc."""\n    def make(self, x):\n        "Doc."\n        self.x = x\n    def two(self):\n        """Only."""\nclass C(Äb):\n    def own(self):\n        return 1\nprint(2)  # said\n'
+    assert "def __init__(self, x):" in code.named_constructors(source) and "def own(self)" in code.named_constructors(source) and "def two" in code.named_constructors(source)
+    bare = code.without_comments(source)
+    assert "Doc." not in bare and "#" not in bare and "pass" in bare
+    assert "print" not in code.definitions_only(source) and "import os" in code.definitions_only(source)
+    assert code.named_constructors("class :") == "class :"
