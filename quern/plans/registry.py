@@ -42,4 +42,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["group_report"](spark, sf_dir)
 
 
-from quern.plans import corpus, extras, flows, shapes, training  # noqa: E402, F401  the modules register their queries
+from quern.plans import corpus, extras, flows, records, shapes, training  # noqa: E402, F401  the modules register their queries
