@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of the session's spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder of the session's spark.checkpoint.dir. Without one, a temporary folder serves a local session; on a cluster that is
+    an error, since executors could not read it."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-checkpoint-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if where is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="quern-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where
