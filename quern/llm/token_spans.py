@@ -14,7 +14,7 @@ of starts.
 
 Cases: null and empty texts have one section, 0, without characters or tokens; a text that ends in a line end has no empty
 last line; very long texts are encoded whole; repeated rows and null ids are allowed, each row gives its own sections; an empty
-table gives no rows.
+table gives no rows; columns besides the key, the text and the starts, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -63,3 +63,10 @@ def test_given_sections_and_errors(docs_of, both):
     with pytest.raises(ValueError):
         spans.attribute(docs, PATH, PATTERN, "none")
     assert spans.attribute(docs_of([]), PATH, PATTERN).count() == 0
+
+
+def test_other_columns_dont_matter(docs_of):
+    rows = [(1, "one\ntwo", "en", "s"), (1, "one\ntwo", "en", "s"), (2, None, None, None)]
+    plain = spans.attribute(docs_of(rows), PATH, PATTERN)
+    odd = spans.attribute(docs_of(rows, clash=["section", "n_tokens", "start_char"]).selectExpr("*", "1 AS `a.b`"), PATH, PATTERN)
+    assert odd.columns == plain.columns and sorted(map(tuple, odd.collect())) == sorted(map(tuple, plain.collect()))
