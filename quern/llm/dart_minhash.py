@@ -12,7 +12,8 @@ compared to two centres, the text that shares most buckets with others and the s
 fully. Links become classes by alternating star steps (large star, small star) on distributed tables. Then every two texts of a
 larger bucket that are still of different classes are compared, in blocks of bounded size, so that of all texts that meet
 in a bucket no two are left uncompared unless they are of one class already; only these comparisons grow with the square of a
-bucket's unlinked rest. A comparison counts equal bytes of the signatures: what lies clearly below the threshold (``BELOW`` standard
+bucket's unlinked rest, their results don't: a block tells which of its texts have a near one of another class, and with their sets
+the links that join such classes. A comparison counts equal bytes of the signatures: what lies clearly below the threshold (``BELOW`` standard
 deviations) is no link, and everything else is decided by the exact (weighted) Jaccard similarity of both shingle sets, so every
 link is exact. Texts with many comparisons are dealt to several tasks for them.
 
@@ -47,7 +48,7 @@ SMALL_BUCKET = 5
 #: Texts of a block, about, when the unlinked rest of a larger bucket is compared.
 BLOCK = 512
 #: Distance below the threshold, in standard deviations of the estimate, from which on the estimate decides.
-BELOW = 5.0
+BELOW = 4.0
 #: Comparisons of one text that meet in one task.
 TOGETHER = 4096
 #: Rows (of 40 bytes at most) of a side that may be broadcast; larger ones are joined by shuffling.
@@ -251,37 +252,64 @@ def _candidates(shared: DataFrame) -> DataFrame:
     return edges.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
-def _across(table: pa.Table, least: float) -> pa.Table:
-    """Of one bucket's blocks i and j: the pairs of texts of different classes with at least this estimate."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    own, h = table.column("own").to_numpy(), table.column("h").to_pylist()
+def _near(table: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one bucket's blocks i and j: places (x, y) of texts of different classes with at least this estimate, and the estimates."""
+    i, j, own = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("own").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, K)
     number: dict[bytes, int] = {}
     cls = np.array([number.setdefault(r, len(number)) for r in table.column("root").to_pylist()])
-    a, b, near = [], [], []
     for c in np.unique(cls[own == i]):
         x, y = np.flatnonzero((own == i) & (cls == c)), np.flatnonzero((own == j) & (cls > c if i == j else cls != c))
         step = max(1, (1 << 24) // (K * max(1, len(y))))
         for first in range(0, len(x) if len(y) else 0, step):
             some = x[first : first + step]
             found = (np.count_nonzero(sig[some, None, :] == sig[None, y, :], axis=2) / K - 1 / 256) / (1 - 1 / 256)
-            for k, m in zip(*np.nonzero(found >= least), strict=True):
-                p, q = h[some[k]], h[y[m]]
-                a.append(min(p, q))
-                b.append(max(p, q))
-                near.append(found[k, m])
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "near": pa.array(near, pa.float64())})
+            p, q = np.nonzero(found >= least)
+            yield some[p], y[q], found[p, q]
+
+
+def _met(table: pa.Table, least: float) -> pa.Table:
+    """The texts of one bucket's blocks that have a near one of another class there."""
+    found = [np.concatenate([x, y]) for x, y, _ in _near(table, least)]
+    at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return table.select(["key", "i", "j", "own", "h"]).take(pa.array(at, pa.int64()))
+
+
+def _joined(table: pa.Table, least: float, threshold: float) -> pa.Table:
+    """Of such texts with their sets: links that join their classes, each confirmed by the sets; none between classes joined already."""
+    h, sets = table.column("h").to_pylist(), [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
+    parent = {r: r for r in table.column("root").to_pylist()}
+    root, a, b = table.column("root").to_pylist(), [], []
+
+    def find(r: bytes) -> bytes:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    near = [np.concatenate(x) for x in zip(*_near(table, least), strict=True)] or [np.empty(0, np.int64)] * 3
+    for k in np.argsort(-near[2], kind="stable").tolist():
+        x, y = int(near[0][k]), int(near[1][k])
+        p, q = find(root[x]), find(root[y])
+        if p != q and _alike(sets[x], sets[y], threshold):
+            parent[max(p, q)] = min(p, q)
+            a.append(min(h[x], h[y]))
+            b.append(max(h[x], h[y]))
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both)
 
 
 def _unlinked(shared: DataFrame, vertices: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Different pairs (a, b, near), a < b, of all texts of different classes that share a larger bucket, with at least this estimate."""
+    """(key, i, j, own, h, root, sig) of all texts in larger buckets of several classes, dealt into pairs of blocks."""
     large = shared.filter(F.col("n") > SMALL_BUCKET).join(roots, "h")
     mixed = large.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     rows = large.join(mixed, "key").join(vertices.select("h", "sig"), "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "root", "sig")
-    found = rows.groupBy("key", "i", "j").applyInArrow(lambda table: _across(table, least), "a binary, b binary, near double")
-    return found.groupBy("a", "b").agg(F.first("near").alias("near"))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "root", "sig")
 
 
 def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -298,51 +326,52 @@ def _estimate(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return map_arrow(rows.select("a", "b", "sa", "sb"), run, "a binary, b binary, near double")
 
 
-def _spread(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """rows with the number of tasks that key's comparisons are dealt to."""
-    return rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, F.col(key) == F.col("of"), "left").withColumn("tasks", F.coalesce("tasks", F.lit(1))).drop("of")
-
-
-def _exact(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, weighted: bool, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets have the threshold's similarity. Of equal texts only the one with the smallest id is read."""
-    pairs = cut(pairs.select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = cut(wanted.join(vertices, "h").select(F.col("h").alias("k"), F.col("doc_id").alias("id")))
+def _sets(wanted: DataFrame, vertices: DataFrame, docs: DataFrame, width: int, weighted: bool) -> DataFrame:
+    """(h, s) of the wanted texts (h): their different shingles, and if weighted their second, third, ... occurrences as elements of their
+    own, materialised. Of equal texts only the one with the smallest id is read."""
+    wanted = cut(wanted.distinct().join(vertices, "h").select(F.col("h").alias("k"), F.col("doc_id").alias("id")))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     own = docs.filter(F.col("text").rlike(_HAS_WORD)).select(_key("text").alias("h"), "doc_id", "text")
     texts = own.join(side, (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            found = [np.unique(shingle_hashes(x, width), return_counts=True) for x in batch.column("text").to_pylist()]
-            packed = [(keys.tobytes(), n.astype("<i4").tobytes() if weighted and n.max() > 1 else b"") for keys, n in found]
-            keys, n = zip(*packed, strict=True) if packed else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["h", "s", "n"])
-
-    own = cut(map_arrow(texts.select("h", "text"), sets, "h binary, s binary, n binary").groupBy("h").agg(F.first("s").alias("s"), F.first("n").alias("n")))
-    rows = pairs
+            found = [_elements(x, width, weighted).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(found, pa.binary())], names=["h", "s"])
+
+    return cut(map_arrow(texts.select("h", "text"), sets, "h binary, s binary").groupBy("h").agg(F.first("s").alias("s")))
+
+
+def _elements(text: str, width: int, weighted: bool) -> np.ndarray:
+    """The set whose Jaccard similarities are those of the text's (weighted) shingles."""
+    keys, n = np.unique(shingle_hashes(text, width), return_counts=True)
+    if not weighted or n.max() == 1:
+        return keys
+    number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    keys = np.repeat(keys, n)
+    return np.unique(np.where(number == 0, keys, _mix(keys + number.astype(np.uint64) * _M2)))
+
+
+def _verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose shingle sets (of own) have the threshold's similarity. A centre's comparisons meet in many tasks, each with a copy
+    of its set."""
+    rows = pairs.select("a", "b")
+    hot = cut(rows.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("tasks")).filter("tasks > 1"))
+    many = hot.count()
+    hot = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
+    dealt = lambda df, key: df.join(hot, F.col(key) == F.col("of"), "left").drop("of").withColumn("tasks", F.coalesce("tasks", F.lit(1))) if many else df.withColumn("tasks", F.lit(1))
     for c, other in (("a", "b"), ("b", "a")):
-        # a centre's comparisons meet in many tasks, each with a copy of its set
-        hot = cut(pairs.groupBy(F.col(c).alias("of")).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("tasks")).filter("tasks > 1"))
-        left = _spread(rows, hot, c).withColumn("task", F.pmod(F.xxhash64(other), F.col("tasks")).cast("int")).drop("tasks")
-        right = _spread(own, hot, "h").select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+        left = dealt(rows, c).withColumn("task", F.pmod(F.xxhash64(other), F.col("tasks")).cast("int")).drop("tasks")
+        right = dealt(own, "h").select(F.col("h").alias(c), F.col("s").alias(f"s{c}"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
         rows = left.join(right, [c, "task"]).drop("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            keep = []
-            for sa, na, sb, nb in zip(*(batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True):
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                if na or nb:
-                    m, n = (np.frombuffer(k, "<i4") if k else np.ones(len(z), np.int32) for k, z in ((na, x), (nb, y)))
-                    both, total = int(np.minimum(m[i], n[j]).sum()), int(m.sum()) + int(n.sum())
-                else:
-                    both, total = len(i), len(x) + len(y)
-                keep.append(both >= threshold * (total - both))
+            sets = zip(*(batch.column(c).to_pylist() for c in ("sa", "sb")), strict=True)
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in sets]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(rows.select("a", "b", "sa", "na", "sb", "nb"), compare, "a binary, b binary")
+    return map_arrow(rows.select("a", "b", "sa", "sb"), compare, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -370,30 +399,22 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(roots.join(joined.toDF("root", "least"), "root", "left").select("h", F.coalesce("least", "root").alias("root")))
 
 
-def _decided(roots: DataFrame, pairs: DataFrame, exact) -> DataFrame:
-    """roots after all of pairs (a, b, near) that exact confirms. Those of most promise of each two classes come first, since further
-    ones are needed only while the classes are two."""
-    some = 1
-    while True:
-        ends = pairs.select("a", "b", "near").join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").filter("ra != rb")
-        order = W.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("near"), "a", "b")
-        pairs = cut(ends.select("a", "b", "near", F.row_number().over(order).alias("rank")))
-        if pairs.isEmpty():
-            return roots
-        roots = _merged(roots, exact(pairs.filter(F.col("rank") <= some)))
-        pairs, some = pairs.filter(F.col("rank") > some), 16 * some
-
-
 def _classes(docs: DataFrame, threshold: float, width: int, weighted: bool) -> DataFrame:
     """(h, doc_id, root) of each different text with words, materialised."""
     vertices = cut(_vertices(docs, width, weighted))
     shared, least = _shared(vertices), threshold - BELOW * math.sqrt(threshold * (1 - threshold) / K)
-    exact = lambda pairs: _exact(pairs, vertices, docs, width, weighted, threshold)
-    roots = components(exact(_estimate(_candidates(shared), vertices).filter(F.col("near") >= least)))
+    near = cut(_estimate(_candidates(shared), vertices).filter(F.col("near") >= least).select("a", "b"))
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("h")), vertices, docs, width, weighted)
+    roots = components(_verified(near, sets, threshold))
     roots = cut(vertices.select("h").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root")))
-    rest = cut(_unlinked(shared, vertices, roots, least))
-    if not rest.isEmpty():
-        roots = _decided(roots, rest, exact)
+    met = _unlinked(shared, vertices, roots, least).groupBy("key", "i", "j").applyInArrow(lambda table: _met(table, least), "key long, i long, j long, own long, h binary")
+    met = cut(met)
+    if not met.isEmpty():
+        sets = _sets(met.select("h"), vertices, docs, width, weighted)
+        rows = met.join(sets, "h").join(roots, "h").join(vertices.select("h", "sig"), "h")
+        links = cut(rows.groupBy("key", "i", "j").applyInArrow(lambda table: _joined(table, least, threshold), "a binary, b binary").distinct())
+        if not links.isEmpty():
+            roots = _merged(roots, links)
     return cut(vertices.select("h", "doc_id").join(roots, "h"))
 
 
