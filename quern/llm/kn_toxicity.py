@@ -1,9 +1,8 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
 
-Expressions are words and pairs of neighbouring words (lower-cased, whole, told apart by 32-bit hashes). Pairs are counted by
-their occurrences in either class, words by Kneser-Ney's continuation counts: the different words they follow, in either
-class and in both together, so that copies of a text add nothing to a word. Every expression of every labelled training
-document stays in the model. For an order (words or pairs) with counts n_0, n_1 in the classes and n in both, sums N_0, N_1, N and
+Expressions are words and pairs of neighbouring words (lower-cased, whole, told apart by 32-bit hashes). Both are counted by
+their occurrences in either class; the lower order keeps them, since Kneser-Ney's continuation counts (of different words before)
+lost a quarter of the toxic documents here. Every expression of every labelled training document stays in the model. For an order (words or pairs) with counts n_0, n_1 in the classes and n in both, sums N_0, N_1, N and
 
     S(x)   = (n(x) - d) / N                                              shared; the rest is for the unseen
     K_c(x) = max(n_c(x) - DISCOUNT, 0) / N_c + R_c S(x)                  of class c; R_c is the mass of its discounts
@@ -47,7 +46,7 @@ from pyspark.sql import types as T
 from quern.llm.common import aliased, cut, fold, map_arrow, named, owned, parts, scratch
 
 #: Part of the shared counts in both classes, and the discount of a class's own counts.
-SHARED, DISCOUNT = 0.98, 2.0
+SHARED, DISCOUNT = 0.98, 4.0
 #: Weight of pairs beside words, and words without evidence that every text is taken to have besides its own.
 PAIRS, PRIOR = 0.3, 30
 #: Bytes of text for a chunk of the model, and chunks at least.
@@ -194,11 +193,11 @@ def _merge(kind: str, chunks: int) -> Callable:
     return run
 
 
-def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of tables of pairs: how many different words each word follows, in either class and in both."""
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of tables of pairs: how often each word ends one, in either class and in both."""
     for batch in parts(batches, 1):
-        keys, (n0, n1, _) = _read(pa.Table.from_batches([batch]), "pairs")
-        words, counts = _summed(keys & _U(0xFFFFFFFF), [(n0 > 0).astype(np.int64), (n1 > 0).astype(np.int64), np.ones(len(keys), np.int64)])
+        keys, (n0, n1, n) = _read(pa.Table.from_batches([batch]), "pairs")
+        words, counts = _summed(keys & _U(0xFFFFFFFF), [n0, n1, n])
         yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), *map(pa.array, counts)], names=["w", "n0", "n1", "n"])
 
 
@@ -316,7 +315,7 @@ def count_model(labelled: DataFrame, size: int, slots: tuple[int, int] = SLOT_BI
     pairs = map_arrow(labelled.select("text", "cls"), lambda batches: _count(batches, chunks), _TABLE)
     pairs.groupBy("chunk").applyInArrow(_merge("pairs", chunks), _TABLE).write.option("compression", "zstd").parquet(f"{folder}/kind=pairs")
     pairs = spark.read.schema(_TABLE).parquet(f"{folder}/kind=pairs")
-    words = map_arrow(pairs, _followed, "w long, n0 long, n1 long, n long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n")))
+    words = map_arrow(pairs, _ends, "w long, n0 long, n1 long, n long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n")))
     words = map_arrow(words, lambda batches: _word_blobs(batches, chunks), _TABLE)
     words.groupBy("chunk").applyInArrow(_merge("words", chunks), _TABLE).write.option("compression", "zstd").parquet(f"{folder}/kind=words")
     return Model(pairs.unionByName(spark.read.schema(_TABLE).parquet(f"{folder}/kind=words")), chunks, slots, bits)

@@ -63,7 +63,7 @@ def plain_values(rows, asked):
     paired = lambda t: list(zip(["^", *split(t)], split(t), strict=False))
     own = [Counter(x for t, c in rows if c == k for x in paired(t)) for k in (0, 1)]
     both = own[0] + own[1]
-    follows = [Counter(w for _, w in x) for x in (*own, both)]
+    single = [Counter(w for _, w in x.elements()) for x in (*own, both)]
 
     def order(n0, n1, n):
         total = [max(1, sum(x.values())) for x in (n0, n1, n)]
@@ -79,7 +79,7 @@ def plain_values(rows, asked):
 
         return ratio
 
-    words, pairs = order(*follows), order(*own, both)
+    words, pairs = order(*single), order(*own, both)
     out = []
     for t in asked:
         n = len(split(t))
