@@ -2,7 +2,8 @@
 
 Expressions are words and pairs of neighbouring words (lower-cased, whole, told apart by 32-bit hashes). Both are counted by
 their occurrences in either class; the lower order keeps them, since Kneser-Ney's continuation counts (of different words before)
-lost a quarter of the toxic documents here. Every expression of every labelled training document stays in the model. For an order (words or pairs) with counts n_0, n_1 in the classes and n in both, sums N_0, N_1, N and
+lost a quarter of the toxic documents here. Every expression of every labelled training document stays in the model. For an order
+(words or pairs) with counts n_0, n_1 in the classes and n in both, and sums N_0, N_1, N
 
     S(x)   = (n(x) - d) / N                                              shared; the rest is for the unseen
     K_c(x) = max(n_c(x) - DISCOUNT, 0) / N_c + R_c S(x)                  of class c; R_c is the mass of its discounts
