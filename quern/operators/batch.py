@@ -105,11 +105,14 @@ def unfold(df: DataFrame, k: int, columns: list[str], pos: str = POS) -> DataFra
     return rows.select((F.col(pos) * k + F.col("__i")).alias(pos), "__z.*")
 
 
-def chunk(df: DataFrame, k: int, pos: str = POS) -> DataFrame:
-    """df with ``chunk``, one of k equal ones; a number of rows that k doesn't divide raises."""
+def chunk(df: DataFrame, k: int, pos: str = POS, even: bool = True) -> DataFrame:
+    """df with ``chunk``, one of k equal ones; a number of rows that k doesn't divide raises. Without ``even`` the rows that are left
+    over come after the k chunks, in chunks of the same size or less; fewer than k rows have a null chunk."""
     total = F.broadcast(df.agg(F.count("*").alias("__n")))  # one row
-    size = F.when(F.col("__n") % k == 0, F.col("__n") / k).otherwise(F.raise_error(F.lit(f"the rows are no multiple of {k}")).cast("double"))
-    return df.join(total).withColumn("chunk", F.floor(F.col(pos) / size)).drop("__n")
+    size = F.floor(F.col("__n") / k)
+    if even:
+        size = F.when(F.col("__n") % k == 0, size).otherwise(F.raise_error(F.lit(f"the rows are no multiple of {k}")).cast("long"))
+    return df.join(total).withColumn("chunk", F.floor(F.try_divide(F.col(pos), size))).drop("__n")
 
 
 def split(df: DataFrame, size: int, pos: str = POS) -> DataFrame:

@@ -73,7 +73,7 @@ def unfold(spark, d):
 
 @query("SELECT vec_id, pos // ((SELECT count(*) FROM embeddings) // 4) AS chunk FROM {a}", longs="chunk", **A)
 def chunk(spark, d):
-    return batch.chunk(arrays(spark, d), 4).select("vec_id", "chunk")
+    return batch.chunk(arrays(spark, d), 4, even=False).select("vec_id", "chunk")
 
 
 @query("SELECT vec_id, pos // 64 AS part FROM {a}", longs="part", **A)

@@ -325,6 +325,15 @@ def test_the_balanced_query_takes_every_event(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("t0", 8, True), ("t1", 8, True)]
 
 
+@pytest.mark.parametrize("n", [3, 4, 11])
+def test_the_chunk_query_takes_any_number_of_rows(spark, tmp_path, n):
+    from quern.plans import shapes
+
+    spark.range(n).selectExpr("id * 3 AS vec_id", "array(1.0F) AS embedding", "1 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = shapes.chunk(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(3 * i, i // (n // 4) if n >= 4 else None) for i in range(n)]
+
+
 def test_the_synthesis_query_takes_every_task(spark, tmp_path, monkeypatch):
     from quern.plans import flows
 
