@@ -63,13 +63,15 @@ def grpo_vectorized(df: DataFrame, group: str = "uid", by_std: bool = True, eps:
 
 
 @register("grpo_passk")
-def grpo_passk(df: DataFrame, group: str = "uid", by_std: bool = True, eps: float = 1e-6, order: str = "sample_idx") -> DataFrame:
-    """Only the best response of a group gets its lead over the second; groups of one raise."""
+def grpo_passk(df: DataFrame, group: str = "uid", by_std: bool = True, eps: float = 1e-6, order: str = "sample_idx", singles: bool = False) -> DataFrame:
+    """Only the best response of a group gets its lead over the second; groups of one raise, or with ``singles`` get null."""
     n, _, std = _group(group)
     best = W.partitionBy(group).orderBy(F.desc("score"), order)
     lead = F.col("score") - F.lead("score").over(best)
-    value = F.when(n < 2, F.raise_error(F.lit("a group needs two responses")).cast("double")).when(F.row_number().over(best) == 1, lead / (std + eps) if by_std else lead)
-    return df.withColumn("advantage", F.coalesce(value, F.lit(0.0)))
+    value = F.when(F.row_number().over(best) == 1, lead / (std + eps) if by_std else lead).otherwise(0.0)
+    if not singles:
+        value = F.when(n < 2, F.raise_error(F.lit("a group needs two responses")).cast("double")).otherwise(value)
+    return df.withColumn("advantage", value)
 
 
 @register("rloo")

@@ -29,7 +29,7 @@ _advantage("rloo", "CASE WHEN n = 1 THEN score ELSE (score - mu) * n / (n - 1) E
 _advantage("rloo_vectorized", "CASE WHEN n = 1 THEN 0 ELSE (score - mu) * n / (n - 1) END")
 _advantage("opo", "score - CASE WHEN n = 1 THEN 0 ELSE (sum(response_length * score) OVER (PARTITION BY uid)) / (sum(response_length) OVER (PARTITION BY uid)) END", day=False, digits=5)
 _advantage("gpg", "(SELECT count(*) / greatest(count(*) FILTER (score <> 0), 1) FROM {r}) * CASE WHEN n = 1 THEN score ELSE score - mu END")
-_advantage("grpo_passk", "CASE WHEN row_number() OVER (PARTITION BY uid ORDER BY score DESC, sample_idx) = 1 THEN (score - lead(score) OVER (PARTITION BY uid ORDER BY score DESC, sample_idx)) / (sd + 1e-6) ELSE 0 END", day=False)
+_advantage("grpo_passk", "CASE WHEN row_number() OVER (PARTITION BY uid ORDER BY score DESC, sample_idx) = 1 THEN (score - lead(score) OVER (PARTITION BY uid ORDER BY score DESC, sample_idx)) / (sd + 1e-6) ELSE 0 END", day=False, args={"singles": True})
 
 
 @query(

@@ -334,6 +334,21 @@ def test_the_chunk_query_takes_any_number_of_rows(spark, tmp_path, n):
     assert sorted(tuple(r) for r in got) == [(3 * i, i // (n // 4) if n >= 4 else None) for i in range(n)]
 
 
+def test_the_passk_query_takes_groups_of_one(spark, tmp_path):
+    import harness
+
+    from quern.plans import registry
+
+    events = spark.range(7).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id % 4 AS user_id", "'t' AS event_type", "id * id * 1.0D AS value", """'{"k": 7}' AS props""")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = harness.duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    query, sql = registry.QUERIES["grpo_passk"], registry.ORACLE_SQL["grpo_passk"]
+    assert harness.difference(spark, str(tmp_path), query, sql, con) is None
+    got = {r["event_id"]: r["advantage"] for r in query(spark, str(tmp_path)).collect()}
+    assert got[3] is None and got[0] == 0.0 and got[4] > 0
+
+
 def test_the_synthesis_query_takes_every_task(spark, tmp_path, monkeypatch):
     from quern.plans import flows
 
