@@ -120,11 +120,12 @@ def solve(df: DataFrame, attempts: int, right: Column) -> DataFrame:
 
 def verify(df: DataFrame, banned: list[str], attempts: int, right: Column, low: float, high: float) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid): proposals that have code, run, and are solved more often than ``low`` and less often than ``high``. A proposal
-    whose skill wasn't detected is invalid and goes on as well. Cheap checks come first, and code runs only on what is left."""
+    whose skill wasn't detected is invalid and goes on as well. Cheap checks come first, and code runs only on what is left, once for
+    each different code and input."""
     proposed = _cut(df)
     valid, invalid = tasks.split_proposals(proposed)
     unskilled = valid.filter(~tasks.skill_ok()).withColumn("reason", F.lit("skill not used"))
-    ran = _cut(valid.withColumn("g", code.gate_col(F.col("code"), F.col("input"), banned)))
+    ran = _cut(code.once(valid, ["code", "input"], code.gate_col(F.col("code"), F.col("input"), banned), "g"))
     alive = ran.filter("g.ok").withColumn("output", F.col("g.result")).drop("g", "difficulty")
     dead = ran.filter(~F.coalesce(F.col("g.ok"), F.lit(False))).withColumn("reason", F.lit("did not run")).drop("g")
     scored = _cut(alive.join(solve(alive, attempts, right), "task_id"))

@@ -388,6 +388,20 @@ def test_the_synthesis_query_takes_every_task(spark, tmp_path, monkeypatch):
     assert flows.synthesis_loop(spark, str(tmp_path)).count() == 30
 
 
+def test_equal_snippets_run_once(spark):
+    from quern.plans import synthesis
+
+    source = "import os\ndef f(x):\n    return (x, os.getpid())"
+    rows = [(i, "s", ["s"], "code_out", source, str(i % 2), None) for i in range(12)]
+    rows += [(12, "s", ["s"], "code_out", source, None, None), (13, "s", ["s"], "code_out", None, "1", None)]
+    tasks_ = spark.createDataFrame(rows, "task_id long, skill string, detected_skill array<string>, task_type string, code string, input string, output string").repartition(4)
+    valid, invalid = synthesis.verify(tasks_, [], 4, F.col("attempt") <= 2, 0.1, 0.9)
+    got = {r["task_id"]: r["output"] for r in valid.collect()}
+    assert sorted(got) == list(range(12))
+    assert {i % 2: x for i, x in got.items()} == {0: got[0], 1: got[1]} and len(set(got.values())) == 2
+    assert sorted((r["task_id"], r["reason"]) for r in invalid.collect()) == [(12, "did not run"), (13, "not well formed")]
+
+
 def test_the_sampler_query_sees_a_late_difference(spark, tmp_path, monkeypatch):
     from quern.plans import extras
 
