@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,7 +73,29 @@ def remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that later steps neither recompute it nor depend on an executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Give back what the driver holds of finished steps: its Python's free memory, and once the JVM's heap has grown to ``HEAP_PART`` of
+    its bound, the garbage there. Spark forgets shuffles and broadcasts only behind a collection, and the heap shrinks only then."""
+    gc.collect()
+    _trim()
+    runtime = spark.sparkContext._jvm.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_PART * runtime.maxMemory():
+        spark.sparkContext._jvm.System.gc()
+
+
+#: See tidy.
+HEAP_PART = 0.4
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 _OWNED: list = [None, None]
@@ -104,9 +127,7 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
     batch = None
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    _trim()
 
 
 def fold(doc_id: str, parts: int):

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import aliased, cut, fold, map_arrow, named, owned, parts, scratch
+from quern.llm.common import aliased, cut, fold, map_arrow, named, owned, parts, scratch, tidy
 
 #: Part of the shared counts in both classes, and the discount of a class's own counts.
 SHARED, DISCOUNT = 0.98, 4.0
@@ -230,7 +230,7 @@ def _part(batches: Iterator[pa.RecordBatch], slots: tuple[int, int], bits: tuple
         piece = np.zeros((int(at.max()) // 8 - first + 1) * 8, np.uint8)
         piece[at - first * 8] = 1
         sums = [len(n), (n == 1).sum(), (n == 2).sum(), n0.sum(), n1.sum(), n.sum(), np.maximum(n0 - DISCOUNT, 0).sum(), np.maximum(n1 - DISCOUNT, 0).sum()]
-        row = [kind, *map(float, sums), keys[best].tobytes(), *(x[best].tobytes() for x in (n0, n1, n)), first, np.packbits(piece, bitorder="little").tobytes()]
+        row = [kind, *map(float, sums), _bytes(keys[best]), *(_bytes(x[best]) for x in (n0, n1, n)), first, _bytes(np.packbits(piece, bitorder="little"))]
         types = [pa.string(), *[pa.float64()] * len(_SUMS), *[pa.binary()] * 4, pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _PART.split(", ")])
 
@@ -275,21 +275,23 @@ class Model:
 
     def __init__(self, tables: DataFrame, chunks: int, slots: tuple[int, int], bits: tuple[int, int]):
         self.tables, self.chunks = tables, chunks
+        tidy(tables.sparkSession)
         rows = map_arrow(tables, lambda batches: _part(batches, slots, bits), _PART).collect()  # together of a fixed size: slots and filter bits
         sums = {k: np.sum([[r[c] for c in _SUMS] for r in rows if r["kind"] == k] or np.zeros((1, len(_SUMS))), axis=0) for k in _WORDS_OF}
         self.orders = {k: Order(*x) for k, x in sums.items()}
-        self.known = {k: Known(slots[i], bits[i]) for k, i in _WORDS_OF.items()}
+        scorers = {k: Known(slots[i], bits[i]) for k, i in _WORDS_OF.items()}
         best = {k: np.zeros(1 << slots[i], np.int64) for k, i in _WORDS_OF.items()}
-        for r in rows:
-            known, most = self.known[r["kind"]], best[r["kind"]]
-            keys, (n0, n1, n) = np.frombuffer(bytes(r["keys"]), np.uint64), (np.frombuffer(bytes(r[c]), np.int64) for c in ("n0", "n1", "n"))
+        while rows:
+            r = rows.pop(0)
+            known, most = scorers[r["kind"]], best[r["kind"]]
+            keys, (n0, n1, n) = _array(bytes(r["keys"]), np.uint64), (_array(bytes(r[c]), np.int64) for c in ("n0", "n1", "n"))
             slot = _mix(keys) >> _U(64 - known.bits)
             more = n > most[slot]  # ranges of two chunks may meet in a slot
             most[slot[more]] = n[more]
             known.keys[slot[more]], known.weight[slot[more]] = keys[more], self.weigh(r["kind"], n0, n1, n)[more]
-            piece = np.frombuffer(bytes(r["bits"]), np.uint8)
+            piece = _array(bytes(r["bits"]), np.uint8)
             known.filter[r["first"] : r["first"] + len(piece)] |= piece
-        self.shared = tables.sparkSession.sparkContext.broadcast(self.known)  # of a fixed size: slots and filter bits
+        self.shared = tables.sparkSession.sparkContext.broadcast(scorers)  # of a fixed size: slots and filter bits
 
     def weigh(self, kind: str, n0: np.ndarray, n1: np.ndarray, n: np.ndarray) -> np.ndarray:
         return _weigh(self.orders[kind], kind, n0, n1, n)
@@ -435,6 +437,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Model
     labelled = _with_labels(docs, labels, label)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     model = count_model(labelled.filter("fold > 1"), size)
+    tidy(docs.sparkSession)
     found = values(labelled.filter("fold = 1"), model, "cls").filter("value is not null")
     at = F.greatest(F.least(F.round(F.asinh(F.col("value") / _UNIT) / _STEP), F.lit(BINS)), F.lit(-BINS))
     bins = found.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("key").alias("toxic")).orderBy("bin").toPandas()  # 2 * BINS + 1 rows at most

@@ -57,3 +57,28 @@ def test_run_agrees_with_itself(spark):
 
     one, two = (sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SMALL).collect()) for _ in range(2))
     assert one == two and one
+
+
+def test_a_cut_gives_the_garbage_of_the_driver_back(spark, monkeypatch):
+    from quern.llm import common
+
+    spark.sparkContext._jvm.System.gc()
+    held = spark.sparkContext._jvm.java.lang.Object()
+    there = spark.sparkContext._jvm.java.lang.ref.WeakReference(held)
+    del held
+    monkeypatch.setattr(common, "HEAP_PART", 0.0, raising=False)
+    assert common.cut(spark.range(3)).count() == 3
+    assert there.get() is None
+
+
+def test_the_part_of_the_model_that_the_driver_gets_is_compressed():
+    import numpy as np
+
+    from quern.llm import kn_toxicity as kn
+
+    keys = np.arange(50_000, dtype=np.uint64) | np.uint64(kn._ALONE << 32)
+    one = np.ones(len(keys), np.int64)
+    (row,) = [r for b in kn._part(kn._blobs("words", keys, (one, one, 2 * one), 1), (16, 16), (20, 20)) for r in b.to_pylist()]
+    found = [kn._array(row[c], "<i8") for c in ("n0", "n1", "n")]
+    assert len(found[0]) > 30_000 and (found[0] == 1).all() and (found[2] == 2).all()
+    assert sum(len(row[c]) for c in ("n0", "n1", "n")) < len(found[0])
